@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from basinflow.llm import exact_dedup
+from basinflow.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
