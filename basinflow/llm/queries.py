@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basinflow.llm import exact_dedup, packing, simhash
+from basinflow.llm import exact_dedup, packing, simhash, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op6_packing": packing.op6_packing,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
