@@ -69,3 +69,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, text), and whether ``doc`` is doc_id itself, as it is where that is unique and not null.
+
+    ``doc`` is a unique long that orders documents. Where doc_id can't serve, rows
+    are range-sorted by (doc_id, nulls first, then text hash) and numbered.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    odd = texts.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if odd.isEmpty():
+        return texts.select(F.col("doc_id").alias("doc"), "doc_id", "text").where("doc IS NOT NULL"), True
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = texts.repartitionByRange(parallelism(docs.sparkSession), *by).sortWithinPartitions(*by)
+    numbered = materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "numbered")
+    return numbered.where("doc IS NOT NULL"), False
+
+
+def with_doc_id(result: DataFrame, keyed: DataFrame, plain: bool) -> DataFrame:
+    """Put doc_id in the place of ``doc``."""
+    if plain:
+        return result.withColumnRenamed("doc", "doc_id")
+    return result.join(keyed.select("doc", "doc_id"), "doc").drop("doc")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, although ``body`` uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from basinflow.llm import exact_dedup, packing, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
+    "op7_chat_perspectives": chat.op7_chat_perspectives,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op7_chat_perspectives": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import materialize, parallelism, read_table
+from basinflow.llm.common import keyed_documents, parallelism, read_table, with_doc_id
 
 GRAM = 40
 #: Bytes of text that a task works on at a time.
@@ -333,21 +333,6 @@ def _cut(batches: Iterator[pa.RecordBatch], with_spans: bool) -> Iterator[pa.Rec
         yield pa.record_batch(arrays, names=names)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc, doc_id, text), and whether ``doc`` is doc_id itself, as it is where that is unique and not null.
-
-    Else documents are numbered in the order of the range-sorted rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    odd = texts.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
-    if odd.isEmpty():
-        return texts.select(F.col("doc_id").alias("doc"), "doc_id", "text").where("doc IS NOT NULL"), True
-    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = texts.repartitionByRange(parallelism(docs.sparkSession), *by).sortWithinPartitions(*by)
-    numbered = materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "numbered")
-    return numbered.where("doc IS NOT NULL"), False
-
-
 def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -356,7 +341,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     """
     if depth <= GRAM:
         raise ValueError(f"depth must exceed {GRAM} bytes")
-    keyed, plain = _keyed(docs)
+    keyed, plain = keyed_documents(docs)
     n = parallelism(docs.sparkSession)
     texts = keyed.select("doc", "text")
     runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, "route")
@@ -373,7 +358,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     ranges = removed.groupBy("doc").agg(span.alias("ranges"))
     schema = CUT + (", kept binary, spans array<struct<lo:int,hi:int>>" if with_spans else "")
     cut = texts.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(lambda it: _cut(it, with_spans), schema)
-    return cut.withColumnRenamed("doc", "doc_id") if plain else cut.join(keyed.select("doc", "doc_id"), "doc").drop("doc")
+    return with_doc_id(cut, keyed, plain)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
