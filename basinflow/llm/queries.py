@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from basinflow.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
