@@ -1,8 +1,8 @@
 """Quality classifier: support vectors over naive-Bayes scaled n-gram indicators.
 
-Features are indicators, hashed to ``DIMS`` places: byte 4-grams, word 1- and
-2-grams, 4-grams of the text's *shape* (letters become a or A, digits 0, runs of
-one class shrink to at most two), and buckets of a few shares (repeated
+Features are indicators, hashed to ``DIMS`` places: word 1- and 2-grams, 4-grams
+of the text's *shape* (letters become a or A, digits 0, runs of one class shrink
+to at most two), and buckets of a few shares (repeated
 neighbours, distinct words, capitals, signs, digits). Each indicator is scaled by
 its log-count ratio between the classes, and a linear hinge-loss model is fitted by
 dual coordinate descent; a two-parameter logistic curve, fitted on out-of-fold
@@ -64,7 +64,9 @@ def _buckets(raw: bytes, shape: np.ndarray, tokens: list[bytes]) -> list[int]:
         np.count_nonzero(~LETTER[shape]) / n,
         np.count_nonzero(shape == ord("0")) / n,
     )
-    return [1000 * i + int(min(x, 1.0) * 20) for i, x in enumerate(shares)] + [10_000 + min(n, 1 << 20).bit_length()]
+    even = [1000 * i + int(min(x, 1.0) * 20) for i, x in enumerate(shares)]
+    fine = [1000 * i + 100 + int(x * 4096).bit_length() for i, x in enumerate(shares)]
+    return [*even, *fine, 10_000 + min(n, 1 << 20).bit_length()]
 
 
 class Features:
@@ -75,12 +77,10 @@ class Features:
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()
-        data = np.frombuffer(raw, np.uint8)
         shape = np.frombuffer(raw.translate(SHAPE), np.uint8)
         tokens = raw.split()
         parts = [_place(np.array(_buckets(raw, shape, tokens), np.uint64), 1)]
-        if len(data) > 3:
-            parts.append(_place(_grams(data), 2))
+        if len(raw) > 3:
             thin = np.ones(len(shape), bool)
             thin[2:] = (shape[2:] != shape[1:-1]) | (shape[2:] != shape[:-2])
             short = shape[thin]
@@ -163,7 +163,7 @@ def _logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 7, folds: int = 3) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 0.3, epochs: int = 10, seed: int = 7, folds: int = 3) -> Model:
     y = np.where(labels > 0, 1.0, -1.0)
     n1 = int((y > 0).sum())
     if n1 < folds or len(y) - n1 < folds:
@@ -194,7 +194,7 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 5000, **options) -> Model:
+def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Model:
     """Fit on the labelled documents outside the held-out quarter, ``max_train`` of them at most."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
