@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basinflow.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, html_text, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_perspectives": chat.op7_chat_perspectives,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
