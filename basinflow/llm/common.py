@@ -94,6 +94,14 @@ def with_doc_id(result: DataFrame, keyed: DataFrame, plain: bool) -> DataFrame:
     return result.join(keyed.select("doc", "doc_id"), "doc").drop("doc")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added while ``df`` has such a column (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, although ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import materialize, read_table, table_path
+from basinflow.llm.common import free_name, materialize, read_table, table_path
 
 RUN_SCHEMA = "doc_id long, row_no long, digest binary, rep_no long, n_rows long"
 
@@ -144,13 +144,14 @@ def drop_duplicates_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` with one row of each group of equal texts; every column is kept."""
     index = dedup_index(docs, keep)
     lost = materialize(index.where("row_no <> keep_row").select("doc_id", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")), "lost")
-    ids = lost.where("not twin").select("doc_id").distinct().withColumnRenamed("doc_id", "_lost_id")
-    twins = lost.where("twin").select("doc_id").distinct().withColumnRenamed("doc_id", "_twin_id")
-    gone = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left_anti")
+    mark = free_name(docs, "lost_id")
+    ids = lost.where("not twin").select(F.col("doc_id").alias(mark)).distinct()
+    twins = lost.where("twin").select(F.col("doc_id").alias(mark)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark))
+    gone = docs.join(ids, same, "left_anti")
     # Rows that repeat an id and a text: one of them stays.
-    rest = gone.join(twins, F.col("doc_id").eqNullSafe(F.col("_twin_id")), "left_anti")
-    twice = gone.join(twins, F.col("doc_id").eqNullSafe(F.col("_twin_id")), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(twice)
+    rest = gone.join(twins, same, "left_anti")
+    return rest.unionByName(gone.join(twins, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import materialize, read_table
+from basinflow.llm.common import free_name, materialize, read_table
 
 #: Largest mean that is inverted in one piece.
 STEP = 16.0
@@ -69,36 +69,39 @@ def poisson_count(key: Column, mean: Column, seed: int) -> Column:
 
 def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, budget: int | None = None) -> DataFrame:
     """(source, rate): mean repetitions. Without ``weights`` shares are proportional to N_s ** alpha."""
-    counts = docs.groupBy(F.col("source").alias("rate_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy("source").agg(F.count("*").alias("n")).select("source", "n")
     if weights is not None:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "named string, w double")
-        counts = counts.join(F.broadcast(given), F.col("rate_source").eqNullSafe(F.col("named")), "left").drop("named")
-        counts = counts.withColumn("w", F.coalesce("w", F.lit(0.0)))  # bounded by the weights given
+        # ``given`` is as large as the argument
+        counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("named")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     else:
         counts = counts.withColumn("w", F.pow("n", F.lit(float(alpha))))
     counts = materialize(counts, "source_counts")
     total = counts.agg(F.sum("n"), F.sum("w")).first()
     docs_out, weight = float(budget if budget is not None else total[0] or 0), float(total[1] or 0) or 1.0
-    return counts.select("rate_source", (F.col("w") / F.lit(weight) * F.lit(docs_out) / F.col("n")).alias("rate"))
+    return counts.select("source", (F.col("w") / F.lit(weight) * F.lit(docs_out) / F.col("n")).alias("rate"))
 
 
 def mix_sources(
     docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, budget: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """The mixture in shuffled order: the columns of ``docs`` plus ``mix_copy`` (from 1) and ``mix_key``."""
+    """The mixture in shuffled order: the columns of ``docs``, then ``mix_copy`` (from 1) and ``mix_key`` (or free names like them)."""
     columns = docs.columns
-    rates = materialize(source_rates(docs, weights, alpha, budget), "rates")
+    name = {c: free_name(docs, f"mix_{c}") for c in ("copy", "key", "rate", "source", "salt", "own_salt", "n", "id")}
+    rates = source_rates(docs, weights, alpha, budget).select(F.col("source").alias(name["source"]), F.col("rate").alias(name["rate"]))
+    rates = materialize(rates, "rates")
+    same = F.col("source").eqNullSafe(F.col(name["source"]))
     if rates.count() <= MAX_RATES:
-        rated = docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("rate_source")))
+        rated = docs.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = docs.withColumn("_docs_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        rated = spread.join(salted, F.col("source").eqNullSafe(F.col("rate_source")) & (F.col("_salt") == F.col("_docs_salt")))
+        salted = rates.withColumn(name["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = docs.withColumn(name["own_salt"], F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        rated = spread.join(salted, same & (F.col(name["salt"]) == F.col(name["own_salt"])))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    counted = rated.withColumn("_n", poisson_count(key, F.col("rate"), seed)).where("_n > 0")
-    copies = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("mix_copy"), key.alias("_key"))
-    mixed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), "_key", "mix_copy").cast("binary")))
-    return mixed.drop("_key").orderBy("mix_key")
+    counted = rated.select(*columns, key.alias(name["id"]), poisson_count(key, F.col(name["rate"]), seed).alias(name["n"]))
+    copies = counted.where(F.col(name["n"]) > 0).withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["n"]))))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), name["id"], name["copy"]).cast("binary"))
+    return copies.select(*columns, name["copy"], order.alias(name["key"])).orderBy(name["key"])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinflow.llm.common import read_table
+from basinflow.llm.common import free_name, read_table
 
 BITS = 18
 DIMS = 1 << BITS
@@ -207,17 +207,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **o
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with ``score`` (0 to 1)."""
-    if "score" in docs.columns:
-        raise ValueError("docs has a column score")
+    """The rows of ``docs`` with a last column ``score`` (0 to 1; underscores are added if there is one already)."""
+    name = free_name(docs, "score")
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(batches):
         features = Features()
         for batch in batches:
             scores = [model.score(features(t)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(score, schema)
 
@@ -225,8 +224,8 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
     model = train_quality(docs, labels, **options)
-    plain = docs.select(*[F.col(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns])
-    return score_quality(plain, model).where(F.col("score") >= threshold).drop("score")
+    scored = score_quality(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import materialize, parallelism, read_table
+from basinflow.llm.common import free_name, materialize, parallelism, read_table
 from basinflow.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
 def drop_near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the smallest doc_id. All columns stay."""
     found = near_duplicates(docs, words, max_bits)
-    lost = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    mark = free_name(docs, "lost_id")
+    lost = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct(), "lost")
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(mark), "left_anti")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
