@@ -23,14 +23,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.common import free_name, materialize, read_table, table_path
 
-RUN_SCHEMA = "doc_id long, row_no long, digest binary, rep_no long, n_rows long"
+RUN_SCHEMA = "doc_id long, row_no long, digest binary, rep_no long, n_rows long, raw long"
 
 
 def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.RecordBatch]:
@@ -39,10 +41,12 @@ def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.Reco
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         first: dict[tuple[bytes, int], tuple] = {}
-        own = []
+        own, hashes = [], []
         held: dict[bytes, list[bytes]] = {}
         for i, text in enumerate(texts):
-            raw = (text or "").encode().lower()  # bytes.lower() touches A-Z only
+            plain = (text or "").encode()
+            hashes.append(xxhash.xxh64_intdigest(plain, 42))
+            raw = plain.lower()  # bytes.lower() touches A-Z only
             digest = hashlib.sha256(raw).digest()
             same = held.setdefault(digest, [])
             k = next((k for k, x in enumerate(same) if x == raw), len(same))
@@ -64,8 +68,9 @@ def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.Reco
                 pa.array([own[i][0] for i in order], pa.binary()),
                 pa.array([r[1] for r in reps], pa.int64()),
                 pa.array([r[2] if r[1] == row else 0 for r, row in zip(reps, rows)], pa.int64()),
+                pa.array(np.array(hashes, np.uint64)[order].view(np.int64)),
             ],
-            names=["doc_id", "row_no", "digest", "rep_no", "n_rows"],
+            names=["doc_id", "row_no", "digest", "rep_no", "n_rows", "raw"],
         )
         seen += len(own)
 
@@ -91,7 +96,9 @@ def _order(keep: str) -> F.Column:
 
 
 def dedup_index(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_no, digest, keep_id, keep_row, group_size.
+    """One row per row of ``docs``: doc_id, row_no, digest, raw, keep_id, keep_row, keep_raw, group_size.
+
+    ``raw`` is the text's ``xxhash64``; with doc_id it finds a row again.
 
     ``keep`` is ``largest`` or ``smallest`` (doc_id of the row that stays).
     """
@@ -99,20 +106,20 @@ def dedup_index(docs: DataFrame, keep: str = "largest") -> DataFrame:
         raise ValueError("keep: largest or smallest")
     runs = flush_runs(docs, keep)
     reps = runs.where("n_rows > 0")
-    best = F.max(F.struct(_order(keep).alias("o"), "doc_id")).alias("top")
-    winner = [F.col("top.doc_id").alias("keep_id"), (-F.col("top.o.row")).alias("keep_row"), F.col("group_size")]
+    best = F.max(F.struct(_order(keep).alias("o"), "doc_id", "raw")).alias("top")
+    winner = [F.col("top.doc_id").alias("keep_id"), (-F.col("top.o.row")).alias("keep_row"), F.col("top.raw").alias("keep_raw"), F.col("group_size")]
     merged = reps.groupBy("digest").agg(best, F.sum("n_rows").alias("group_size"), F.count("*").alias("n_reps"))
     level1 = materialize(merged.select("digest", *winner, "n_reps").sortWithinPartitions("digest"), "level1")
     hits = reps.join(level1.where("n_reps > 1").select("digest"), "digest", "left_semi")
     clash = materialize(_clashes(docs, hits), "clash")
-    columns = ["doc_id", "row_no", "digest", "keep_id", "keep_row", "group_size"]
+    columns = ["doc_id", "row_no", "digest", "raw", "keep_id", "keep_row", "keep_raw", "group_size"]
     if clash.isEmpty():
         return runs.join(level1, "digest").select(columns)
     # Texts that share a digest: their bytes part them.
     bodies = _bodies(docs, hits.join(clash, "digest", "left_semi")).withColumnRenamed("doc_id", "_doc")
     parted = hits.join(bodies, F.col("doc_id").eqNullSafe(F.col("_doc")) & (hits.digest == bodies.digest)).select(hits["*"], "body")
     groups = parted.groupBy("digest", "body").agg(best, F.sum("n_rows").alias("group_size")).select("digest", "body", *winner)
-    by_rep = parted.join(groups, ["digest", "body"]).select(F.col("row_no").alias("rep_no"), "keep_id", "keep_row", "group_size")
+    by_rep = parted.join(groups, ["digest", "body"]).select(F.col("row_no").alias("rep_no"), "keep_id", "keep_row", "keep_raw", "group_size")
     apart = runs.join(by_rep, "rep_no").select(columns)
     return runs.join(clash, "digest", "left_anti").join(level1, "digest").select(columns).unionByName(apart)
 
@@ -143,15 +150,18 @@ def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def drop_duplicates_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` with one row of each group of equal texts; every column is kept."""
     index = dedup_index(docs, keep)
-    lost = materialize(index.where("row_no <> keep_row").select("doc_id", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")), "lost")
-    mark = free_name(docs, "lost_id")
-    ids = lost.where("not twin").select(F.col("doc_id").alias(mark)).distinct()
-    twins = lost.where("twin").select(F.col("doc_id").alias(mark)).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark))
-    gone = docs.join(ids, same, "left_anti")
+    same_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw"))
+    lost = materialize(index.where("row_no <> keep_row").select("doc_id", "raw", same_row.alias("twin")), "lost")
+    mark, code, raw = (free_name(docs, name) for name in ("lost_id", "lost_raw", "own_raw"))
+    named = [F.col("doc_id").alias(mark), F.col("raw").alias(code)]
+    gone = lost.where("not twin").select(*named).distinct()
+    twins = lost.where("twin").select(*named).distinct()
+    hashed = docs.withColumn(raw, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark)) & (F.col(raw) == F.col(code))
+    left = hashed.join(gone, same, "left_anti")
     # Rows that repeat an id and a text: one of them stays.
-    rest = gone.join(twins, same, "left_anti")
-    return rest.unionByName(gone.join(twins, same, "left_semi").dropDuplicates(["doc_id"]))
+    rest = left.join(twins, same, "left_anti")
+    return rest.unionByName(left.join(twins, same, "left_semi").dropDuplicates(["doc_id", raw])).drop(raw)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

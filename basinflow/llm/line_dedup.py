@@ -46,6 +46,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[tuple[str, DataFrame]]] = []
+        self._retired: list[str] = []
 
     def _runs(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
@@ -78,10 +79,15 @@ class LineIndex:
             self.levels[level] = []
             merged = reduce(DataFrame.unionByName, [r for _, r in old])
             self._push(level + 1, merged.groupBy("key").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")))
-            for gone, _ in old:
-                drop_table(self.spark, gone)
+            self._retired += [gone for gone, _ in old]
         return run
 
+    def vacuum(self) -> None:
+        """Delete runs that compaction has replaced; frames returned by ``add`` may read them until then."""
+        for gone in self._retired:
+            drop_table(self.spark, gone)
+        self._retired = []
+
     def counts(self) -> DataFrame:
         """(key, n_docs) of every key."""
         return self.entries().groupBy("key").agg(F.sum("n").alias("n_docs"))
@@ -98,6 +104,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         batch = lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
         index.add(batch.select(F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"))
     common = materialize(index.counts().where(F.col("n_docs") >= min_docs).select("key", F.lit(True).alias("hit")), "common")
+    index.vacuum()
     flags = (
         lines.select("doc", F.posexplode("keys").alias("pos", "key"))
         .join(common, "key", "left")
