@@ -2,11 +2,11 @@
 
 Features are indicators, hashed to ``DIMS`` places: word 1- and 2-grams, 4-grams
 of the text's *shape* (letters become a or A, digits 0, runs of one class shrink
-to at most two), and buckets of a few shares (repeated
-neighbours, distinct words, capitals, signs, digits). Each indicator is scaled by
-its log-count ratio between the classes, and a linear hinge-loss model is fitted by
-dual coordinate descent; a two-parameter logistic curve, fitted on out-of-fold
-margins, turns margins into scores between 0 and 1.
+to at most two), and buckets of a few shares (repeated neighbours, distinct words,
+capitals, signs, digits). Each indicator is scaled by its log-count ratio between
+the classes, and a linear hinge-loss model is fitted by dual coordinate descent; a
+two-parameter logistic curve, fitted on out-of-fold margins, turns margins into
+scores between 0 and 1.
 
 The model is fitted on at most ``max_train`` labelled documents (those with the
 least hash of doc_id), features only; that bound holds for any corpus. Scoring is
@@ -16,9 +16,11 @@ carries has a fixed size.
 Labels come only from rows with crc32(doc_id as text) mod 4 other than 2. Defined
 results: a null text counts as empty; empty texts are scored by their buckets like
 any other; several labels of one doc_id are averaged (half or more is 1), null
-labels are ignored; a null doc_id is held out and scored; repeated rows score alike; with
-labels of one class or none every document scores (n1 + 1) / (n + 1); an empty
-table gives no rows; labels, lang, source and doc_id are never inputs of a score.
+labels are ignored; a null doc_id is held out and scored; repeated rows score
+alike; with under three labels of a class every document scores (n1 + 1) / (n + 1)
+and ``keep_quality`` keeps all; of rows that share a labelled doc_id one is learned
+from; an empty table gives no rows; labels, lang, source and doc_id are never
+inputs of a score.
 """
 
 from __future__ import annotations
@@ -186,8 +188,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 0.3, epochs: int
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in batches:
-        places = [features(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
-        yield pa.record_batch([pa.array(places, pa.binary()), batch.column(1)], names=["places", "label"])
+        places = [features(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(places, pa.binary()), batch.column(2)], names=["doc_id", "places", "label"])
 
 
 def held_out() -> F.Column:
@@ -199,8 +201,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **o
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label")  # max_train rows at most are broadcast
-    found = rows.mapInArrow(_extract, "places binary, label int").toArrow()
+    rows = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "text", "label")  # max_train rows at most are broadcast
+    found = rows.mapInArrow(_extract, "doc_id long, places binary, label int")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("places", "label")).alias("x")).select("x.*").toArrow()  # one row per labelled id
     order = sorted(range(found.num_rows), key=lambda i: (zlib.crc32(found["places"][i].as_py()), found["label"][i].as_py()))
     places = [np.frombuffer(found["places"][i].as_py(), "<i4").astype(np.int64) for i in order]
     return fit(places, np.array([found["label"][i].as_py() for i in order], np.int64), **options)
@@ -224,6 +227,8 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
     model = train_quality(docs, labels, **options)
+    if model.weights is None:  # nothing was learned that could reject a document
+        return docs
     scored = score_quality(docs, model)
     return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
 
