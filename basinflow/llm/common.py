@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/basinflow/{uuid.uuid4().hex}/{tag}"
+    return f"{shared_dir(spark)}/basinflow/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -53,6 +53,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_all_tables(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application. Frames that still read one can't be used after that."""
+    drop_table(spark, f"{shared_dir(spark)}/basinflow/{spark.sparkContext.applicationId}")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in ``lower``."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

@@ -69,7 +69,12 @@ SCOPES = frozenset("html table td th caption button object template".split())
 ENDED_BY_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPES = frozenset("ul ol dl table tbody thead tfoot select menu dir".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. Quotes bind only after an equals sign; an unclosed quote is an ordinary character.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 

@@ -23,6 +23,9 @@ def test_odd_page():
     ("html", "text"),
     [
         ("", ""),
+        ("<!-->a<!--->b<!-- c --!>d", "abd"),
+        ("<p class=it's>a that's</p><p title='x>y' id=\"z>\">b</p><p title=\"open>c", "a that's\n\nb\n\nc"),
+        ("<p " + "\"'" * 5000, "<p " + "\"'" * 5000),
         ("plain &lt;text", "plain <text"),
         ("<div>" * 4000 + "deep" + "</div>" * 10, "deep"),
         ("<b>" * 3000 + "x<p>y", "x\n\ny"),
