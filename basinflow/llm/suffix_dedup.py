@@ -15,13 +15,15 @@ there, and a suffix that stands alone after a pass is dropped from the next:
    first occurrence stays, the others are removed whole.
 3. *Last digit.* Where one first digit holds different rows (the edges of
    repeats), the first row of each kind is opened: each of its windows is ordered
-   by a 128-bit hash of its ``depth`` bytes. Equal groups are the repeated
-   windows; all but the earliest are removed.
+   by the first digit and a 64-bit hash of its ``depth`` bytes. Equal groups are
+   the repeated windows; all but the earliest are removed. A run's windows travel
+   as one row, eight bytes a window.
 
 Skew. A pass first sorts inside the map task, which settles all but the earliest
 member of each equal group there, so a group of any size sends one row per block
-of text. A first digit with many different rows in a block is dealt by both digits
-instead of one. No row, group or window is dropped.
+of text. A first digit with many different rows in a block is *wide*: its rows are
+dealt by both digits instead of one, a mark tells the others of that digit, and
+its windows are dealt one by one. No row, group or window is dropped.
 
 Hashes are 128 bits in passes 2 and 3 (two 64-bit polynomial hashes of different
 bases over randomised bytes): windows that merely collide are not expected in any
@@ -45,14 +47,14 @@ from pyspark.sql import functions as F
 
 from basinflow.llm.common import keyed_documents, parallelism, read_table, with_doc_id
 
-GRAM = 40
+GRAM = 32
 #: Bytes of text that a task works on at a time.
 BLOCK = 4 << 20
 #: Different second digits of one first digit in a block from which both digits deal the rows.
 WIDE = 8
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-REMOVED, CLASS, MARK, OPEN = 0, 1, 2, 3
+REMOVED, CLASS, MARK, OPEN, WIDE_OPEN = range(5)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,14 +162,13 @@ def _joined(docs, raws, more):
     return np.array(docs, np.int64), np.frombuffer(b"".join(raws), np.uint8), offsets, more
 
 
-ROWS = "route long, d1 long, d2 long, doc long, lo int, hi int, kind byte"
+ROWS = "d1 long, d2 long, doc long, lo int, hi int, kind byte"
 
 
-def _rows(route, d1, d2, doc, lo, hi, kind) -> pa.RecordBatch:
+def _rows(d1, d2, doc, lo, hi, kind) -> pa.RecordBatch:
     n = len(doc)
     return pa.record_batch(
         [
-            pa.array(np.ascontiguousarray(route).view(np.int64)),
             pa.array(np.ascontiguousarray(d1).view(np.int64)),
             pa.array(np.ascontiguousarray(d2).view(np.int64)),
             pa.array(doc.astype(np.int64)),
@@ -175,14 +176,14 @@ def _rows(route, d1, d2, doc, lo, hi, kind) -> pa.RecordBatch:
             pa.array(hi.astype(np.int32)),
             pa.array(np.broadcast_to(np.asarray(kind, np.int8), n)),
         ],
-        names=["route", "d1", "d2", "doc", "lo", "hi", "kind"],
+        names=["d1", "d2", "doc", "lo", "hi", "kind"],
     )
 
 
 def _removed(doc, lo, hi) -> pa.RecordBatch:
     doc, lo, hi = _merge(doc, lo, hi)
     zero = np.zeros(len(doc), U)
-    return _rows(_mix(doc.astype(np.int64).view(U).copy()), zero, zero, doc, lo, hi, REMOVED)
+    return _rows(_mix(doc.astype(np.int64).view(U).copy()), zero, doc, lo, hi, REMOVED)
 
 
 def _map_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -205,13 +206,12 @@ def _map_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
         kinds = np.add.reduceat(new2.astype(np.int64), np.flatnonzero(new1))
         wide = np.repeat(kinds > WIDE, kinds)
         d1, d2, doc, lo, hi, selfish = (x[first] for x in (d1, d2, doc, lo, hi, selfish))
-        kind = np.where(selfish | wide, OPEN, CLASS).astype(np.int8)
-        route = np.where(wide, _mix(d1 ^ d2), d1)
-        yield _rows(route, d1, d2, doc, lo, hi, kind)
+        kind = np.where(wide, WIDE_OPEN, np.where(selfish, OPEN, CLASS)).astype(np.int8)
+        yield _rows(d1, d2, doc, lo, hi, kind)
         marks = np.unique(d1[wide])
         if len(marks):
             zero = np.zeros(len(marks), np.int64)
-            yield _rows(marks, marks, zero.view(U), zero, zero, zero, MARK)
+            yield _rows(marks, zero.view(U), zero, zero, zero, MARK)
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
@@ -219,13 +219,14 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [np.concatenate(c) for c in zip(*parts)] if parts else None
 
 
-RANGES = "doc long, lo int, hi int, kind byte"
+RANGES = "d1 long, doc long, lo int, hi int, kind byte"
 
 
-def _ranges(doc, lo, hi, kind) -> pa.RecordBatch:
+def _ranges(d1, doc, lo, hi, kind) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int8), len(doc))
     return pa.record_batch(
-        [pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(doc), kind, np.int8))],
-        names=["doc", "lo", "hi", "kind"],
+        [pa.array(d1.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(kinds)],
+        names=["d1", "doc", "lo", "hi", "kind"],
     )
 
 
@@ -234,15 +235,11 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
     got = _columns(batches)
     if got is None:
         return
-    _, d1, d2, doc, lo, hi, kind = got
+    d1, d2, doc, lo, hi, kind = got
     done = kind == REMOVED
-    yield _ranges(doc[done], lo[done], hi[done], REMOVED)
-    rest = ~done
-    d1, d2, doc, lo, hi, kind = (x[rest] for x in (d1, d2, doc, lo, hi, kind))
-    if not len(d1):
-        return
+    yield _ranges(d1[done], doc[done], lo[done], hi[done], REMOVED)
     marked = d1[kind == MARK]
-    rest = kind != MARK
+    rest = (kind != MARK) & ~done
     d1, d2, doc, lo, hi, kind = (x[rest] for x in (d1, d2, doc, lo, hi, kind))
     if not len(d1):
         return
@@ -250,62 +247,86 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
     d1, d2, doc, lo, hi, kind = (x[order] for x in (d1, d2, doc, lo, hi, kind))
     new1 = np.r_[True, d1[1:] != d1[:-1]]
     new2 = new1 | np.r_[True, d2[1:] != d2[:-1]]
-    yield _ranges(doc[~new2], lo[~new2], hi[~new2] + depth, REMOVED)
+    yield _ranges(d1[~new2], doc[~new2], lo[~new2], hi[~new2] + depth, REMOVED)
     heads = np.flatnonzero(new1)
     kinds = np.add.reduceat(new2.astype(np.int64), heads)
-    many = np.repeat(kinds > 1, np.diff(np.r_[heads, len(d1)])) | np.isin(d1, marked)
+    many = np.repeat(kinds > 1, np.diff(np.r_[heads, len(d1)]))
+    wide = np.isin(d1, marked) | (kind == WIDE_OPEN)
     # A class that repeats inside one of its rows is opened by its first row, whichever row says so.
     groups = np.flatnonzero(new2)
     selfish = np.repeat(np.maximum.reduceat(kind == OPEN, groups), np.diff(np.r_[groups, len(d1)]))
-    opened = new2 & (many | selfish)
-    yield _ranges(doc[opened], lo[opened], hi[opened], OPEN)
+    opened = new2 & (many | selfish | wide)
+    yield _ranges(d1[opened], doc[opened], lo[opened], hi[opened], np.where(wide[opened], WIDE_OPEN, OPEN))
 
 
-def _window_rows(w1, w2, doc, start) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(np.full(len(doc), 0, np.int32))],
-        names=["w1", "w2", "doc", "lo", "hi"],
-    )
+WINDOWS = "d1 long, spread long, doc long, lo int, hi int, hashes binary"
 
 
 def _open_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Pass 3 inside a block: (w1, w2, doc, lo) of windows, or a removed range (hi > 0)."""
+    """Pass 3 inside a block: rows of windows (hi 0, eight bytes each from lo on), or removed ranges (no windows)."""
     for docs, data, offsets, more in _blocks(batches, extra=1):
         if len(data) < depth:
             continue
-        spans = [(i, s["lo"], s["hi"]) for i, (runs,) in enumerate(more) for s in runs]
-        which, lo, hi = (np.array(c, np.int64) for c in zip(*spans))
+        spans = [(i, r["lo"], r["hi"], r["d1"], r["kind"] == WIDE_OPEN) for i, (runs,) in enumerate(more) for r in runs]
+        which, lo, hi, d1, wide = (np.array(c) for c in zip(*spans))
+        # One row per run of neighbouring windows that are the block's first of their kind.
         count = hi - lo + 1
-        at = np.repeat(which, count)
-        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        begin = start + offsets[at]
-        w1 = Rolling(data, BASES[0]).of(begin, begin + depth)
-        w2 = Rolling(data, BASES[1]).of(begin, begin + depth)
-        doc = docs[at]
-        order = np.lexsort((start, doc, w2, w1))
-        w1, w2, doc, start = w1[order], w2[order], doc[order], start[order]
-        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
-        new_again = ~new
-        d, a, b = _merge(doc[new_again], start[new_again], start[new_again] + depth)
-        yield _window_rows(w1[new], w2[new], doc[new], start[new])
-        key = _mix(d.view(U).copy())
-        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(key.view(np.int64)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["w1", "w2", "doc", "lo", "hi"])
+        run = np.repeat(np.arange(len(lo)), count)
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[run]
+        begin = start + offsets[which[run]]
+        w = Rolling(data, BASES[1]).of(begin, begin + depth)
+        doc = docs[which[run]]
+        order = np.lexsort((start, doc, w, d1[run]))
+        same = np.r_[False, (w[order][1:] == w[order][:-1]) & (d1[run][order][1:] == d1[run][order][:-1])]
+        again = np.zeros(len(w), bool)
+        again[order] = same
+        gone_doc, gone_lo, gone_hi = _merge(doc[again], start[again], start[again] + depth)
+        keep = np.flatnonzero(~again)
+        head = np.r_[True, (run[keep][1:] != run[keep][:-1]) | (np.diff(keep) > 1) | wide[run[keep]][1:]]
+        first = keep[head]
+        size = np.diff(np.r_[np.flatnonzero(head), len(keep)])
+        body = w[keep].tobytes()
+        cuts = np.r_[0, np.cumsum(size)] * 8
+        payload = [body[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        spread = np.where(wide[run[first]], w[first].view(np.int64), 0)
+        none = np.zeros(len(gone_doc), np.int64)
+        yield pa.record_batch(
+            [
+                pa.array(np.r_[d1[run[first]], gone_doc]),
+                pa.array(np.r_[spread, none]),
+                pa.array(np.r_[doc[first], gone_doc]),
+                pa.array(np.r_[start[first], gone_lo].astype(np.int32)),
+                pa.array(np.r_[np.zeros(len(first), np.int64), gone_hi].astype(np.int32)),
+                pa.array(payload + [b""] * len(gone_doc), pa.binary()),
+            ],
+            names=["d1", "spread", "doc", "lo", "hi", "hashes"],
+        )
 
 
 def _settle_windows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    got = _columns(batches)
-    if got is None:
+    numbers, bodies, sizes = [], [], []
+    for batch in batches:
+        if batch.num_rows:
+            numbers.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)])
+            got = batch.column(5).to_pylist()
+            sizes.append(np.array([len(x) // 8 for x in got], np.int64))
+            bodies.append(b"".join(got))
+    if not numbers:
         return
-    w1, w2, doc, lo, hi = got
+    d1, doc, lo, hi = (np.concatenate(c) for c in zip(*numbers))
+    count = np.concatenate(sizes)
+    w = np.frombuffer(b"".join(bodies), U)
+    row = np.repeat(np.arange(len(d1)), count)
+    start = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
     done = hi > 0
-    out = [(doc[done], lo[done], hi[done])]
-    w1, w2, doc, lo = (x[~done] for x in (w1, w2, doc, lo))
-    if len(w1):
-        order = np.lexsort((lo, doc, w2, w1))
-        w1, w2, doc, lo = w1[order], w2[order], doc[order], lo[order]
-        again = np.r_[False, (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
-        out.append((doc[again], lo[again], lo[again] + depth))
-    yield _ranges(*_merge(*(np.concatenate(c) for c in zip(*out))), REMOVED)
+    out = [(doc[done], lo[done].astype(np.int64), hi[done].astype(np.int64))]
+    if len(w):
+        order = np.lexsort((start, doc[row], w, d1[row]))
+        key, digit = w[order], d1[row][order]
+        again = order[np.r_[False, (key[1:] == key[:-1]) & (digit[1:] == digit[:-1])]]
+        out.append((doc[row[again]], start[again], start[again] + depth))
+    merged = _merge(*(np.concatenate(c) for c in zip(*out)))
+    yield _ranges(np.zeros(len(merged[0]), np.int64), *merged, REMOVED)
 
 
 CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -344,15 +365,17 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     keyed, plain = keyed_documents(docs)
     n = parallelism(docs.sparkSession)
     texts = keyed.select("doc", "text")
-    runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, "route")
+    route = F.when(F.col("kind") == WIDE_OPEN, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
+    runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, route)
     settled = runs.mapInArrow(lambda it: _settle_runs(it, depth), RANGES)
     span = F.collect_list(F.struct("lo", "hi"))
-    opened = settled.where(F.col("kind") == OPEN).groupBy("doc").agg(span.alias("runs"))
+    runs_of = F.collect_list(F.struct("d1", "lo", "hi", "kind"))
+    opened = settled.where(F.col("kind").isin(OPEN, WIDE_OPEN)).groupBy("doc").agg(runs_of.alias("runs"))
     windows = (
         texts.join(opened, "doc")
         .select("doc", "text", "runs")
-        .mapInArrow(lambda it: _open_runs(it, depth), "w1 long, w2 long, doc long, lo int, hi int")
-        .repartition(n, "w1")
+        .mapInArrow(lambda it: _open_runs(it, depth), WINDOWS)
+        .repartition(n, "d1", "spread")
     )
     removed = settled.where(F.col("kind") == REMOVED).unionByName(windows.mapInArrow(lambda it: _settle_windows(it, depth), RANGES))
     ranges = removed.groupBy("doc").agg(span.alias("ranges"))
