@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
@@ -45,13 +47,31 @@ def first_of_user_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream, "append").groupBy("event_type").agg(F.count("*").alias("users"))
 
 
+def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arbitrary state: a count and a sum per user, kept across micro-batches and sent on each change."""
+
+    def add(key, parts, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for part in parts:
+            n, total = n + len(part), total + float(part["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    schema = "user_id long, n long, total double"
+    stream = events_stream(spark, sf_dir).select("user_id", "value")
+    totals = stream.groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return drain(totals, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+
+
 QUERIES = {
+    "stream_user_totals": user_totals,
     "stream_tumbling_counts": tumbling_counts,
     "stream_sliding_counts": sliding_counts,
     "stream_dedup": first_of_user_and_type,
 }
 
 SQL = {
+    "stream_user_totals": "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id",
     "stream_tumbling_counts": """
 SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""",
     "stream_sliding_counts": """

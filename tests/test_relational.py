@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from basinflow.plans import relational
+from basinflow.plans import analytic, relational
 from basinflow.streaming import queries as streaming
 from tests import parity
 
@@ -12,6 +12,11 @@ def test_query_matches_sql(spark, name):
     parity.check(spark, relational.QUERIES[name], relational.SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(analytic.QUERIES))
+def test_analytic_query_matches_sql(spark, name):
+    parity.check(spark, analytic.QUERIES[name], analytic.SQL[name])
+
+
 @pytest.mark.parametrize("name", sorted(streaming.QUERIES))
 def test_stream_matches_sql(spark, name):
     parity.check(spark, streaming.QUERIES[name], streaming.SQL[name])
