@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import parallelism, read_table
+from basinflow.llm.common import materialize, parallelism, read_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, doc_row long"
 #: A text on which a fast encoder must agree with the tokenizer file before it is used.
@@ -121,12 +121,11 @@ def pack_documents(
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(lambda it: _pack(it, max_len, tokenizer, end_id, with_ids), schema)
-        .repartitionByRange(parallelism(docs.sparkSession), "length", "sequence_id")
-        .sortWithinPartitions("length", "sequence_id")
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    pieces = texts.mapInArrow(lambda it: _pack(it, max_len, tokenizer, end_id, with_ids), schema)
+    # Range cuts are found by a first pass over their input: written down, texts are encoded once.
+    pieces = materialize(pieces, "pieces")
+    return pieces.repartitionByRange(parallelism(docs.sparkSession), "length", "sequence_id").sortWithinPartitions("length", "sequence_id")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
