@@ -15,7 +15,7 @@ content is taken from there.
 
 Every map task folds its own pages into one small template per host, and the
 templates of a host are merged after that, so a host with a third of all pages
-sends one row per task. Pages then meet their host's template in a join that Spark
+sends one row per task, and these are merged in two steps. Pages then meet their host's template in a join that Spark
 may broadcast by its size or split where a host is hot.
 
 Defined results: a null, empty or tag-less page gives its own text (or ""); pages
@@ -44,6 +44,7 @@ from basinflow.llm.common import materialize, read_table
 MIN_PAGES, SHARE, TEXTS = 8, 0.5, 512
 #: Hosts that a task keeps in memory before it sends their templates on.
 HOSTS = 2000
+SALTS = 256
 
 # Element names of the HTML standard, and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -360,18 +361,24 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent()
 
 
-def _merge_templates(part: pd.DataFrame) -> pd.DataFrame:
+def _merge_templates(part: pd.DataFrame, last: bool) -> pd.DataFrame:
     sys.setrecursionlimit(100_000)
     whole = Template()
     for text in sorted(part["template"]):
         whole.merge(Template.load(text))
-    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [whole.dump(constant_only=True)]})
+    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [whole.dump(constant_only=last)]})
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): one row per host over all its pages."""
+    """(host, template): one row per host over all its pages.
+
+    Templates of a host are merged by salt, then over salts, so that a group holds
+    at most ``SALTS`` of them or a ``SALTS``-th of the map tasks' share.
+    """
     parts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_learn, "host string, template string")
-    return parts.groupBy("host").applyInPandas(_merge_templates, "host string, template string")
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)))
+    some = salted.groupBy("host", "salt").applyInPandas(lambda p: _merge_templates(p, last=False), "host string, template string")
+    return some.groupBy("host").applyInPandas(lambda p: _merge_templates(p, last=True), "host string, template string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
