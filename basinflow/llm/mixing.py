@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import free_name, materialize, read_table
+from basinflow.llm.common import free_name, let, materialize, read_table
 
 #: Largest mean that is inverted in one piece.
 STEP = 16.0
@@ -40,31 +40,34 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The least k with P(X <= k) > u for X of Poisson(mean), mean <= STEP."""
-    zero = F.exp(-mean)
-    start = F.struct(F.lit(0).alias("k"), zero.alias("p"), zero.alias("cdf"))
+def poisson_parts(mean: Column) -> Column:
+    """In how many equal parts a mean is drawn."""
+    return F.greatest(F.lit(1), F.ceil(mean / F.lit(STEP)).cast("int"))
+
+
+def poisson_cdf(mean: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of one part of Poisson(mean), until they stop growing."""
+    part = mean / poisson_parts(mean)
+    first = F.exp(-part)
+    start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
 
     def step(acc: Column, i: Column) -> Column:
-        p = acc["p"] * mean / i
-        more = acc["cdf"] <= u
-        return F.struct(
-            F.when(more, i).otherwise(acc["k"]).alias("k"),
-            F.when(more, p).otherwise(acc["p"]).alias("p"),
-            F.when(more, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"),
-        )
+        p = acc["p"] * part / i
+        last = F.element_at(acc["cdf"], -1)
+        grown = F.when(last + p > last, F.concat(acc["cdf"], F.array(last + p))).otherwise(acc["cdf"])
+        return F.struct(p.alias("p"), grown.alias("cdf"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["cdf"]
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["k"]
+def poisson_count(key: Column, parts: Column, cdf: Column, seed: int) -> Column:
+    """A count hashed from (seed, key): for each part the least k with P(X <= k) above a uniform number."""
 
+    def invert(u: Column) -> Column:
+        return F.size(F.filter(cdf, lambda c: c <= u))
 
-def poisson_count(key: Column, mean: Column, seed: int) -> Column:
-    """A Poisson(mean) count hashed from (seed, key)."""
-    parts = F.greatest(F.lit(1), F.ceil(mean / F.lit(STEP)).cast("int"))
-    draws = F.transform(
-        F.sequence(F.lit(1), parts),
-        lambda j: poisson_inverse(hashed_uniform(F.lit(seed), key, j), mean / parts),
-    )
-    return F.when(mean > 0, F.aggregate(draws, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: let(hashed_uniform(F.lit(seed), key, j), invert))
+    return F.aggregate(draws, F.lit(0), lambda a, x: a + x)
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, budget: int | None = None) -> DataFrame:
@@ -87,9 +90,11 @@ def mix_sources(
 ) -> DataFrame:
     """The mixture in shuffled order: the columns of ``docs``, then ``mix_copy`` (from 1) and ``mix_key`` (or free names like them)."""
     columns = docs.columns
-    name = {c: free_name(docs, f"mix_{c}") for c in ("copy", "key", "rate", "source", "salt", "own_salt", "n", "id")}
-    rates = source_rates(docs, weights, alpha, budget).select(F.col("source").alias(name["source"]), F.col("rate").alias(name["rate"]))
-    rates = materialize(rates, "rates")
+    name = {c: free_name(docs, f"mix_{c}") for c in ("copy", "key", "parts", "cdf", "source", "salt", "own_salt", "n", "id")}
+    rates = source_rates(docs, weights, alpha, budget)
+    # The distribution function is laid out once per source; a document only looks its number up.
+    laid = [F.col("source").alias(name["source"]), poisson_parts(F.col("rate")).alias(name["parts"]), poisson_cdf(F.col("rate")).alias(name["cdf"])]
+    rates = materialize(rates.select(*laid), "rates")
     same = F.col("source").eqNullSafe(F.col(name["source"]))
     if rates.count() <= MAX_RATES:
         rated = docs.join(F.broadcast(rates), same)
@@ -98,7 +103,7 @@ def mix_sources(
         spread = docs.withColumn(name["own_salt"], F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         rated = spread.join(salted, same & (F.col(name["salt"]) == F.col(name["own_salt"])))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    counted = rated.select(*columns, key.alias(name["id"]), poisson_count(key, F.col(name["rate"]), seed).alias(name["n"]))
+    counted = rated.select(*columns, key.alias(name["id"]), poisson_count(key, F.col(name["parts"]), F.col(name["cdf"]), seed).alias(name["n"]))
     copies = counted.where(F.col(name["n"]) > 0).withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["n"]))))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), name["id"], name["copy"]).cast("binary"))
     return copies.select(*columns, name["copy"], order.alias(name["key"])).orderBy(name["key"])

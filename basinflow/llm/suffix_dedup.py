@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,12 +141,19 @@ def _merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return doc[at], lo[at], reach[np.r_[at[1:], len(doc)] - 1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], extra: int = 0):
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> (doc, body): texts cross the network compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "body"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], raw_of, extra: int = 0):
     """(doc keys, data, offsets, extra column values) of about ``BLOCK`` bytes of whole documents."""
     docs, raws, more, size = [], [], [], 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(2 + extra))):
-            raw = (row[1] or "").encode()
+            raw = raw_of(row[1])
             docs.append(row[0])
             raws.append(raw)
             more.append(row[2:])
@@ -188,7 +196,7 @@ def _removed(doc, lo, hi) -> pa.RecordBatch:
 
 def _map_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Passes 1 and 2 inside a block of documents."""
-    for docs, data, offsets, _ in _blocks(batches):
+    for docs, data, offsets, _ in _blocks(batches, lambda text: (text or "").encode()):
         lo, hi, d1, selfish, rolling = first_digits(data, offsets[1:], depth)
         if not len(lo):
             continue
@@ -264,7 +272,7 @@ WINDOWS = "d1 long, spread long, doc long, lo int, hi int, hashes binary"
 
 def _open_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Pass 3 inside a block: rows of windows (hi 0, eight bytes each from lo on), or removed ranges (no windows)."""
-    for docs, data, offsets, more in _blocks(batches, extra=1):
+    for docs, data, offsets, more in _blocks(batches, zstandard.ZstdDecompressor().decompress, extra=1):
         if len(data) < depth:
             continue
         spans = [(i, r["lo"], r["hi"], r["d1"], r["kind"] == WIDE_OPEN) for i, (runs,) in enumerate(more) for r in runs]
@@ -333,10 +341,11 @@ CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_spans: bool) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = (text or "").encode()
+        for doc, body, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = unpack(body)
             spans: list[list[int]] = []
             for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
                 if spans and lo <= spans[-1][1]:
@@ -368,19 +377,20 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     route = F.when(F.col("kind") == WIDE_OPEN, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
     runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, route)
     settled = runs.mapInArrow(lambda it: _settle_runs(it, depth), RANGES)
+    bodies = texts.mapInArrow(_squeeze, "doc long, body binary")  # one exchange serves both joins
     span = F.collect_list(F.struct("lo", "hi"))
     runs_of = F.collect_list(F.struct("d1", "lo", "hi", "kind"))
     opened = settled.where(F.col("kind").isin(OPEN, WIDE_OPEN)).groupBy("doc").agg(runs_of.alias("runs"))
     windows = (
-        texts.join(opened, "doc")
-        .select("doc", "text", "runs")
+        bodies.join(opened, "doc")
+        .select("doc", "body", "runs")
         .mapInArrow(lambda it: _open_runs(it, depth), WINDOWS)
         .repartition(n, "d1", "spread")
     )
     removed = settled.where(F.col("kind") == REMOVED).unionByName(windows.mapInArrow(lambda it: _settle_windows(it, depth), RANGES))
     ranges = removed.groupBy("doc").agg(span.alias("ranges"))
     schema = CUT + (", kept binary, spans array<struct<lo:int,hi:int>>" if with_spans else "")
-    cut = texts.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(lambda it: _cut(it, with_spans), schema)
+    cut = bodies.join(ranges, "doc", "left").select("doc", "body", "ranges").mapInArrow(lambda it: _cut(it, with_spans), schema)
     return with_doc_id(cut, keyed, plain)
 
 

@@ -12,6 +12,11 @@ from basinflow.llm import suffix_dedup as sd
 from tests.llm import fixtures as fx
 
 
+def squeezed(texts: list[str]):
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc", "text"])
+    return next(sd._squeeze(iter([batch]))).column(1)
+
+
 def passes(texts: list[str], depth: int, parts: int = 3):
     def table(batches):
         return [r for b in batches for r in b.to_pylist()]
@@ -33,7 +38,7 @@ def passes(texts: list[str], depth: int, parts: int = 3):
             runs[r["doc"]].append({k: r[k] for k in ("d1", "lo", "hi", "kind")})
     if runs:
         docs = sorted(runs)
-        batch = pa.record_batch([pa.array(docs, pa.int64()), pa.array([texts[d] for d in docs]), pa.array([runs[d] for d in docs])], names=["doc", "text", "runs"])
+        batch = pa.record_batch([pa.array(docs, pa.int64()), squeezed([texts[d] for d in docs]), pa.array([runs[d] for d in docs])], names=["doc", "body", "runs"])
         opened = list(sd._open_runs(iter([batch]), depth))
         rows = table(opened)
         for part in dealt(rows, lambda r: hash((r["d1"], r["spread"])), opened[0].schema) if rows else []:
@@ -42,8 +47,8 @@ def passes(texts: list[str], depth: int, parts: int = 3):
     for r in removed:
         ranges[r["doc"]].append({"lo": r["lo"], "hi": r["hi"]})
     last = pa.record_batch(
-        [pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([ranges[d] for d in range(len(texts))], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
-        names=["doc", "text", "ranges"],
+        [pa.array(range(len(texts)), pa.int64()), squeezed(texts), pa.array([ranges[d] for d in range(len(texts))], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
+        names=["doc", "body", "ranges"],
     )
     return [(r["kept"], [(s["lo"], s["hi"]) for s in r["spans"]]) for r in table(sd._cut(iter([last]), True))]
 
