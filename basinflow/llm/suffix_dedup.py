@@ -377,7 +377,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     route = F.when(F.col("kind") == WIDE_OPEN, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
     runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, route)
     settled = runs.mapInArrow(lambda it: _settle_runs(it, depth), RANGES)
-    bodies = texts.mapInArrow(_squeeze, "doc long, body binary")  # one exchange serves both joins
+    # The filter, which the inner join would add on its side alone, makes both sides the same: one exchange serves both joins.
+    bodies = texts.mapInArrow(_squeeze, "doc long, body binary").where("doc IS NOT NULL")
     span = F.collect_list(F.struct("lo", "hi"))
     runs_of = F.collect_list(F.struct("d1", "lo", "hi", "kind"))
     opened = settled.where(F.col("kind").isin(OPEN, WIDE_OPEN)).groupBy("doc").agg(runs_of.alias("runs"))
