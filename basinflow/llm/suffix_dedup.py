@@ -50,7 +50,7 @@ from basinflow.llm.common import keyed_documents, parallelism, read_table, with_
 
 GRAM = 32
 #: Bytes of text that a task works on at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Different second digits of one first digit in a block from which both digits deal the rows.
 WIDE = 8
 U = np.uint64
