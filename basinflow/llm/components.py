@@ -5,7 +5,9 @@ in MapReduce and Beyond"): *large-star* links every larger neighbour of a node t
 the node's least neighbour, *small-star* does so for the smaller ones. Both end
 in stars whose centre is the least node of the component, in about log(n) rounds.
 Each round's edges are written to the shared folder, so a lost executor costs a
-re-read.
+re-read. So are the least neighbours, one row per node: the join with them then has
+a plain shuffle on both sides, which lets Spark split a hub that holds a large
+share of all edges, or broadcast them where their size allows.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ from pyspark.sql import functions as F
 from basinflow.llm.common import drop_table, materialize, table_path
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (a, b) with a > b. The least of a node and its neighbours by a grouped minimum, then a join."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
+    """edges: (a, b) with a > b. Every larger neighbour of a node is linked to the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", path)
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame, path: str) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, is linked to the least of them."""
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least", path)
     moved = edges.join(least, "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b")
 
@@ -38,10 +43,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = materialize(current, "edges", path)
     state = None
     for _ in range(max_rounds):
-        new_path = table_path(spark, "edges")
-        stars = materialize(_star(_star(current, large=True), large=False).distinct(), "edges", new_path)
+        new_path, *between = (table_path(spark, tag) for tag in ("edges", "least", "half", "least"))
+        half = materialize(_large_star(current, between[0]), "half", between[1])
+        stars = materialize(_small_star(half, between[2]).distinct(), "edges", new_path)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_table(spark, path)
+        for gone in (path, *between):
+            drop_table(spark, gone)
         current, path = stars, new_path
         if now == state:
             break
