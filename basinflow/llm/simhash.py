@@ -18,7 +18,9 @@ lower bound on those of any two members, and pairs above ``max_bits`` are pruned
 with all they hold. Only leaf pairs that are left are compared bit by bit.
 
 Groups report a spanning forest of their links, not the links, so a dense group
-of m fingerprints sends at most m - 1 edges. Equal fingerprints are merged before
+of m fingerprints sends at most m - 1 edges. Groups are counted first: where one is
+far above the average, its codes are searched in the finest tables, whose keys are
+the longest (32 bits at 4 bits' distance). Equal fingerprints are merged before
 the search (a grouped minimum), so thousands of copies are one entry.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like
@@ -47,6 +49,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAF = 16
 #: Rows that a random group may hold on average before more blocks are used.
 GROUP = 64
+#: Codes in a group from which they are searched in the finest tables.
+HOT = 16_384
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -202,18 +206,39 @@ def _search(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
     yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
+def _in_tables(codes: DataFrame, masks: list[int]) -> DataFrame:
+    """(t, k, fp, node): each code (fp) once per table, keyed by its bits under the table's mask."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)]
+    return codes.select(F.explode(F.array(*keys)).alias("g"), "fp").select("g.t", "g.k", "fp", F.col("fp").alias("node"))
+
+
+def _group_links(keyed: DataFrame, max_bits: int) -> DataFrame:
+    # One entry per distinct code: a key that holds many documents is still small.
+    return keyed.repartition(parallelism(keyed.sparkSession), "t", "k").mapInArrow(lambda it: _search(it, max_bits), "src long, dst long")
+
+
+def find_links(codes: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(src, dst): edges over the n distinct codes (fp) with the same components as all their links.
+
+    A group of over ``HOT`` codes is not searched as it is: its codes are searched
+    in the finest tables instead, which are complete by themselves.
+    """
+    masks, finest = tables(n, max_bits), tables(1 << 62, max_bits)
+    keyed = _in_tables(codes, masks)
+    if masks == finest:
+        return _group_links(keyed, max_bits)
+    hot = materialize(keyed.groupBy("t", "k").count().where(F.col("count") > HOT).select("t", "k"), "hot")
+    if hot.isEmpty():
+        return _group_links(keyed, max_bits)
+    dense = materialize(keyed.join(hot, ["t", "k"], "left_semi").select("fp").distinct(), "dense")
+    return _group_links(keyed.join(hot, ["t", "k"], "left_anti"), max_bits).unionByName(_group_links(_in_tables(dense, finest), max_bits))
+
+
 def near_components(fingerprints: DataFrame, max_bits: int = 4) -> DataFrame:
     """(fp, component_id) for every distinct ``fp`` of (doc_id, fp): the smallest doc_id it reaches by links."""
-    spark = fingerprints.sparkSession
     distinct = materialize(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    masks = tables(distinct.count(), max_bits)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select(
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])).alias("g"),
-        "fp",
-    ).select("g.t", "g.k", "fp", F.col("fp").alias("node"))
-    # One entry per distinct code: a key that holds many documents is still small.
-    edges = keyed.repartition(parallelism(spark), "t", "k").mapInArrow(lambda it: _search(it, max_bits), "src long, dst long")
+    edges = find_links(distinct.select("fp"), distinct.count(), max_bits)
     linked = connected_components(materialize(edges, "links"))
     linked = materialize(linked, "components")
     least = distinct.withColumnRenamed("fp", "node").join(linked, "node").groupBy("component").agg(F.min("least").alias("component_id"))

@@ -194,6 +194,19 @@ def test_big_groups_are_searched_in_slices(monkeypatch):
     assert {c: min(s) for c, s in have.items()} == want
 
 
+def test_hot_groups_are_searched_in_the_finest_tables(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = [int(c) ^ sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for c in base for _ in range(6)]
+    dense = [0xFFF ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(12, 63, (60, 2))]  # these share their low bits
+    codes = sorted({*map(int, base), *near, *dense})
+    rows = [(i, c) for i, c in enumerate(codes)]
+    got = simhash.near_components(spark.createDataFrame(rows, "doc_id long, fp long"), 4).collect()
+    want = fx.components(dict(rows), 4)
+    assert {r.fp: r.component_id for r in got} == {c: want[i] for i, c in rows}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
