@@ -336,9 +336,12 @@ def array_functions(spark, sf_dir):
 @query("""
 SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word HAVING count(*) >= 20""")
 def word_counts(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word"))
-    per_doc = words.groupBy("word", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 20")
+    # A row is a document (doc_id is its key), so its distinct words are found inside it: counts combine before the only shuffle.
+    words = table(spark, sf_dir, "documents").select(F.split(F.lower("text"), " ", -1).alias("words"))
+    seen = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
+    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
+    marks = words.select(F.explode(F.concat(seen, once)).alias("m"))
+    return marks.groupBy("m.word").agg(F.sum("m.n").alias("n"), F.sum("m.docs").alias("docs")).where("n >= 20")
 
 
 @query("""
