@@ -110,3 +110,24 @@ def free_name(df: DataFrame, base: str) -> str:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, although ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def keep_one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: the smallest (doc_id, text hash), null ids last.
+
+    ``groups`` has (doc_id, raw, grp) for every row, ``raw`` being the text's
+    ``xxhash64``. Rows are found by id and text, as ids may repeat or be null.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "raw")
+    counted = materialize(groups.groupBy("grp", "doc_id", "raw").agg(F.count("*").alias("n")), "groups")
+    best = counted.groupBy("grp").agg(F.min(rank).alias("top"), F.sum("n").alias("size")).where("size > 1").select("grp", "top")
+    lost = counted.join(best, "grp").select("doc_id", "raw", rank.eqNullSafe(F.col("top")).alias("twin"), "n")
+    lost = materialize(lost.where("not twin or n > 1"), "lost")
+    mark, code, raw = (free_name(docs, name) for name in ("lost_id", "lost_raw", "own_raw"))
+    named = [F.col("doc_id").alias(mark), F.col("raw").alias(code)]
+    hashed = docs.withColumn(raw, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark)) & (F.col(raw) == F.col(code))
+    left = hashed.join(lost.where("not twin").select(*named), same, "left_anti")
+    # Rows that repeat an id and a text: one of them stays.
+    twins = lost.where("twin").select(*named)
+    return left.join(twins, same, "left_anti").unionByName(left.join(twins, same, "left_semi").dropDuplicates(["doc_id", raw])).drop(raw)
