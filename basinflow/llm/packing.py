@@ -111,9 +111,9 @@ def _pack(batches: Iterator[pa.RecordBatch], max_len: int, path: str | None, end
 
 
 def pack_documents(
-    docs: DataFrame, max_len: int = 1024, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False
+    docs: DataFrame, max_len: int = 1024, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True
 ) -> DataFrame:
-    """A row per piece; ``with_ids`` adds the token ids as ``ids array<int>``.
+    """A row per piece with its token ids (``ids array<int>``); without ``with_ids`` only their digest.
 
     ``sequence_id`` is the map task's number in the upper bits and a counter below,
     so it is unique without a shuffle and the same when a lost task runs again.
@@ -129,5 +129,5 @@ def pack_documents(
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(read_table(spark, sf_dir, "documents"), max_len=1024)
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), max_len=1024)  # with ids, of which the query shows the digest
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
