@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import free_name, materialize, parallelism, read_table
+from basinflow.llm.common import keep_one_per_group, materialize, parallelism, read_table
 from basinflow.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -254,11 +254,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the smallest doc_id. All columns stay."""
-    found = near_duplicates(docs, words, max_bits)
-    mark = free_name(docs, "lost_id")
-    lost = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct(), "lost")
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col(mark), "left_anti")
+    """``docs`` with one row of each near-duplicate group: the smallest (doc_id, text hash), null ids last. All columns stay."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    prints = materialize(simhash_fingerprints(keyed, words).withColumnRenamed("doc_id", "raw").distinct(), "fingerprints")
+    codes = materialize(prints.select("fp").distinct(), "codes")
+    linked = connected_components(materialize(find_links(codes, codes.count(), max_bits), "links"))
+    groups = prints.join(materialize(linked.withColumnRenamed("node", "fp"), "components"), "fp", "left")
+    groups = materialize(groups.select("raw", F.coalesce("component", "fp").alias("grp")), "raws")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"))
+    return keep_one_per_group(docs, rows.join(groups, "raw"))
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import corpus_pipeline
+from basinflow.llm import simhash
+
+
+def test_simhash_drop_finds_rows_by_id_and_text(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    a = " ".join(base)
+    b, c = " ".join(["one", *base]), " ".join([*base, "two"])
+    assert max((simhash.fingerprint(a, 4) ^ simhash.fingerprint(x, 4)).bit_count() for x in (b, c)) <= 4
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(3, a), (3, c), (7, b), (7, other), (None, c), (None, "alone and without id"), (9, "x y"), (9, "x y")]
+    kept = Counter((r.doc_id, r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept[7, other] == kept[None, "alone and without id"] == kept[9, "x y"] == 1
+    assert kept[3, a] + kept[3, c] == 1 and sum(kept.values()) == 4
 
 
 def test_pipeline_packing_gives_token_ids(spark):
