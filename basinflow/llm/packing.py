@@ -32,7 +32,7 @@ from basinflow.llm.common import materialize, parallelism, read_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, doc_row long"
 #: A text on which a fast encoder must agree with the tokenizer file before it is used.
-PROBE = "It's 12 o'clock;  don't\n\n\tgo!  Été naïve 你好 क्ष \U0001f600 x  \r\n <|endoftext|> end "
+PROBE = "It's 12 o'clock;  don't\n\n\tgo!  Été naïve 你好 क्ष \U0001f600 x  \r\n < | > end "
 
 
 @lru_cache(maxsize=2)
@@ -40,15 +40,15 @@ def encoder(path: str | None):
     """texts -> lists of ids for a ``tokenizers`` file (default: the public byte-level BPE).
 
     A byte-level BPE whose ids are its merge ranks is run by ``tiktoken`` over the
-    vocabulary read from that same file, four times as fast; any other file, or
-    one on which the two disagree, is run by ``tokenizers`` itself.
+    vocabulary read from that same file, four times as fast; texts that hold an
+    added token, any other file, or one on which the two disagree, are run by
+    ``tokenizers`` itself.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True  # the strings of special tokens are ordinary text
 
     def slow(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in exact.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,13 +60,20 @@ def encoder(path: str | None):
         return slow
     import tiktoken
 
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = [t["content"] for t in spec["added_tokens"]]
     back = _byte_alphabet()
-    ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     if [fast.encode_ordinary(PROBE)] != slow([PROBE]):
         return slow
-    return lambda texts: [fast.encode_ordinary(t) for t in texts]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        # ``tiktoken`` knows no added tokens: texts that hold one are left to ``tokenizers``.
+        held = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+        own = dict(zip(held, slow([texts[i] for i in held]))) if held else {}
+        return [own[i] if i in own else fast.encode_ordinary(t) for i, t in enumerate(texts)]
+
+    return encode
 
 
 def _byte_alphabet() -> dict[str, int]:

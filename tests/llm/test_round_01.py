@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from basinflow.llm import simhash
+from basinflow.llm import packing, simhash
 
 
 def test_simhash_drop_finds_rows_by_id_and_text(spark):
@@ -33,3 +33,12 @@ def test_pipeline_packing_gives_token_ids(spark):
     for r in sorted(dict(corpus_pipeline.STAGES)["packing"](spark, df, "").collect(), key=lambda r: r.start):
         got[r.doc_id] = got.get(r.doc_id, []) + r.ids
     assert got == {d: [*exact.encode(t, add_special_tokens=False).ids, 0] for d, t in texts.items()}
+
+
+def test_added_tokens_are_encoded_as_the_tokenizer_file_says():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> end", "<|endoftext|>", "plain  text\n", "x<|endoftext|><|endoftext|>y", ""]
+    assert packing.encoder(None)(texts) == [exact.encode(t, add_special_tokens=False).ids for t in texts]
