@@ -5,9 +5,9 @@ inner substrings of ``S`` words lies at an edge (first or last), which depends o
 nothing outside the k-mer: a text that is moved or edited elsewhere keeps the
 anchors of its unchanged parts, about one in two k-mers. A document starts with
 K - 1 blank words, so short texts have anchors too. ``syncmer_anchors`` gives
-(doc_id, position, hash) for positional matching; the fingerprint keeps the
-``SIZE`` least distinct anchor hashes (all of them in shorter texts), and the
-likeness of two fingerprints estimates the Jaccard likeness of the anchor sets.
+(doc_id, position, hash) for positional matching. The likeness of two texts is the
+Jaccard likeness of their whole sets of anchor hashes; the printed fingerprint, a
+digest that nothing is computed from, shows the ``SIZE`` least of them.
 
 Everything is JVM-side and within a row, so nothing is grouped. ``edit_chain``
 needs each document's successor: documents are cut into ranges of doc_id, a
@@ -66,21 +66,24 @@ def _edge_kmers(text: Column, with_position: bool) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= K, chosen(h)).otherwise(F.array().cast(kind)))
 
 
-def fingerprint(text: Column) -> Column:
-    """array<long>: the ``SIZE`` least distinct anchor hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(_edge_kmers(text, False))), 1, SIZE)
+def anchor_set(text: Column) -> Column:
+    """array<long>: all distinct anchor hashes, ascending."""
+    return F.sort_array(F.array_distinct(_edge_kmers(text, False)))
 
 
-def fingerprint_text(fp: Column) -> Column:
-    """Eight lower-case hex digits per anchor."""
-    return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def fingerprint_text(anchors: Column) -> Column:
+    """Eight lower-case hex digits for each of the ``SIZE`` least anchors."""
+    return F.array_join(F.transform(F.slice(anchors, 1, SIZE), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of common anchors among the least ``SIZE`` of both."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    shared = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+    """0 to 1: the share of common anchors among all of both sets."""
+
+    def share(shared: Column) -> Column:
+        union = F.size(a) + F.size(b) - shared
+        return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+    return let(F.size(F.array_intersect(a, b)), share)
 
 
 def syncmer_anchors(docs: DataFrame) -> DataFrame:
@@ -126,21 +129,21 @@ def edit_chain(docs: DataFrame) -> DataFrame:
     """Each document against a half-edited copy of itself and against its successor (contract of op5)."""
     keyed, plain = keyed_documents(docs)
     first = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    first = first.withColumn("fp", fingerprint(F.col("text")))
-    pairs = with_successor(first, ["text", "fp"])
+    first = first.withColumn("anchors", anchor_set(F.col("text")))
+    pairs = with_successor(first, ["text", "anchors"])
     n = F.length("text").cast("int")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    made = pairs.select("doc", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    made = made.withColumn("edited_fp", fingerprint(F.col("edited")))
+    made = pairs.select("doc", n.cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
+    made = made.withColumn("edited_anchors", anchor_set(F.col("edited")))
     done = made.select(
         "doc",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint_text(F.col("fp")).alias("fingerprint"),
-        fingerprint_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        fingerprint_text(F.col("anchors")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
     return with_doc_id(done, keyed, plain)
 

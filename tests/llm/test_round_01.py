@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from basinflow.llm import packing, simhash
+from basinflow.llm import fingerprints, packing, simhash
 
 
 def test_simhash_drop_finds_rows_by_id_and_text(spark):
@@ -42,3 +42,20 @@ def test_added_tokens_are_encoded_as_the_tokenizer_file_says():
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> end", "<|endoftext|>", "plain  text\n", "x<|endoftext|><|endoftext|>y", ""]
     assert packing.encoder(None)(texts) == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_likeness_covers_all_anchors(spark):
+    own = [[f"{d}w{i}" for i in range(6000)] for d in "ab"]
+    passage = [f"p{i}" for i in range(100)]
+    texts = {2: " ".join(own[0] + passage), 1: " ".join(own[1][:3000] + passage + own[1][3000:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: set() for d in texts}
+    for r in fingerprints.syncmer_anchors(df).collect():
+        sets[r.doc_id].add(r.hash)
+    want = len(sets[1] & sets[2]) / len(sets[1] | sets[2])
+    assert len(sets[1] & sets[2]) > 30
+    for r in fingerprints.edit_chain(df).collect():
+        assert abs(r.near_next - want) < 1e-12
+    words = " ".join(own[0]), " ".join([*own[0][:3000], "another", "sentence", *own[0][3000:]])
+    near = spark.createDataFrame([(2, words[0]), (1, words[1])], "doc_id long, text string")
+    assert all(0.99 < r.near_next < 1 for r in fingerprints.edit_chain(near).collect())
