@@ -1,28 +1,40 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-Pages of one host are aligned by simple tree matching. A page's tag tree is first
-folded: siblings of one signature (tag with its class and id words) become one
-*slot*, so a list of fifty paragraphs is one slot with fifty texts, and the trees
-that are matched stay small. A host's *template* is the union of its aligned trees
-with, for each slot, how often each text occurred (a Misra-Gries summary, which
-adds up over parts and never loses a text of more than 1 in ``TEXTS`` of a slot's
-texts). A text that a slot repeats on half of the host's pages (and ``MIN_PAGES``
-at least) is a constant node: template, not content. The varying slots are
-content, unless they are of a kind that holds no article text: menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts and styles, told by
-tag, role, class and id. Where a page has an <article> (or else a main region), its
-content is taken from there.
-
-Every map task folds its own pages into one small template per host, and the
-templates of a host are merged after that, so a host with a third of all pages
-sends one row per task, and these are merged in two steps. Pages then meet their host's template in a join that Spark
-may broadcast by its size or split where a host is hot.
+1. *Trees.* A task parses each page once: its tree of block elements is folded
+   (siblings of one signature, tag with role and class words, become one *slot*),
+   and every text block of the page, menus and footers too, is kept with its slot.
+   Only what is never shown is left out: scripts, styles, templates, hidden parts.
+2. *Alignment.* The distinct trees of a host are aligned by simple tree matching
+   and united into its template; slots on under 1 in ``RARE`` of its pages go. A tree
+   is aligned once, however many pages have it, and each block then knows its
+   template slot. What the template lacks follows its nearest ancestor there.
+3. *Variation.* One grouped count gives for every (host, slot, text) the pages it is
+   on, and from it for every slot its length and its linked length, summed over pages as parts of the
+   page, and the share of its texts that several pages repeat.
+4. *Decision*, a host at a time over its few slots. A slot's mass is its unlinked
+   length, ten times less where all its texts repeat. The content region is found by
+   going down from the root to the child that holds most of the mass, as long as
+   that child is a container. Slots outside the region are template. Inside, slots
+   of repeated texts, slots of repeated links and small parts of a furniture kind are template,
+   and so are single texts that half of the host's pages (3 at least) repeat in a
+   slot whose texts mostly vary.
+
+Element names, roles and the words that the task itself names are a *prior*: they
+multiply mass by ``PRIOR`` (main) or divide it (furniture). It settles hosts of a
+few pages; the mass that a host's pages show can overrule it.
+
+Steps 3 and 4 read the blocks as columns, so pages are not parsed again, and a hot
+host sends one row per distinct tree and distinct text into its groups. Trees of a
+host are united by salt, then over salts, in the order of their counts: the result
+does not depend on how pages fall to tasks.
 
 Defined results: a null, empty or tag-less page gives its own text (or ""); pages
-without a host share one template; a host with under ``MIN_PAGES`` pages has no
-constant nodes; if constant nodes are all that a page has, they are its text;
-unclosed, misnested and very deep tags are closed by the nearest open element;
-repeated rows give repeated results; an empty table gives no rows.
+without a host share one template; a host of one page is decided by that page's
+shares; a page with nothing in the host's region gives its blocks that are neither
+furniture nor links; constant texts stay where they are all that a page has;
+unclosed, misnested and very deep tags are closed by the nearest open element, and
+slots below ``DEPTH`` levels belong to their ancestor there; repeated rows give
+repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +47,22 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinflow.llm.common import materialize, read_table
 
-MIN_PAGES, SHARE, TEXTS = 8, 0.5, 512
-#: Hosts that a task keeps in memory before it sends their templates on.
-HOSTS = 2000
+#: A slot stays in the template from this share of the host's pages on: 1 in RARE.
+RARE = 1000
+#: Groups over which the distinct trees of a host are dealt for the first union.
 SALTS = 256
+DEPTH = 64
+#: Least pages that repeat a constant text, and their least share.
+LEAST, SHARE = 3, 0.5
+#: Factor by which a main element raises, and a furniture element lowers, the mass below it.
+PRIOR = 10.0
 
-# Element names of the HTML standard, and words that mark page furniture.
+# Element names and roles of the HTML standard, and the task's words for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCK = frozenset(
@@ -54,21 +70,19 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE_TAGS = frozenset(
-    "nav footer aside form script style noscript template svg math canvas iframe object button select textarea input dialog menu head title".split()
-)
-FURNITURE_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side aside widget cookie cookies consent gdpr notice banner alert popup modal "
-    "overlay toast ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted share sharing social "
-    "related recommended newsletter subscribe subscription signup login search comment comments reply replies respond disqus discussion feedback "
-    "pagination pager skip toolbar copyright legal disclaimer masthead topbar".split()
-)
+#: Implied where a page leaves them out, so they are no slots.
+ROOTS = frozenset("html body".split())
+SILENT = frozenset("head template svg math canvas object".split())
+#: Elements that hold text, not a region of a page.
+TEXTUAL = HEADINGS | frozenset("p li pre blockquote dt dd td th caption figcaption summary".split())
+MAIN = frozenset("article main".split())
+FURNITURE_TAGS = frozenset("nav header footer aside form fieldset legend option dialog menu search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HEADER_WORDS = frozenset("header".split())
-MAIN_WORDS = frozenset("content article post entry story main".split())
+FURNITURE_WORDS = frozenset("menu header footer sidebar notice ad ads advert adverts comment comments".split())
 SCOPES = frozenset("html table td th caption button object template".split())
 ENDED_BY_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPES = frozenset("ul ol dl table tbody thead tfoot select menu dir".split())
+NESTABLE = SCOPES | LIST_SCOPES | frozenset("tr body html article main section div".split())
 
 #: Comments, declarations and tags. Quotes bind only after an equals sign; an unclosed quote is an ordinary character.
 TOKEN = re.compile(
@@ -79,7 +93,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-KEEP, DROP, HEAD_ONLY = 0, 1, 2
+CONTENT, NEUTRAL, TEMPLATE = 1, 0, -1
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,16 +101,16 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Page:
-    """One pass over a page: ``slots`` [(parent, signature)] of the folded tree and ``blocks`` [(slot, text, level, linked)]."""
+    """One pass over a page: ``slots`` [(parent, signature)] of the folded tree and ``blocks`` [(slot, text, linked characters)]."""
 
     def __init__(self, html: str):
         self.slots: list[tuple[int, str]] = [(-1, "#")]
-        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.blocks: list[tuple[int, str, int]] = []
         self._known: dict[tuple[int, str], int] = {}
-        # open elements: tag, slot, state, level (0 none, 1 main region, 2 article), inside a link
-        self._open: list[tuple[str, int, int, int, bool]] = [("#", 0, KEEP, 0, False)]
+        # open elements: tag, slot, whether shown, whether inside a link, levels of slots
+        self._open: list[tuple[str, int, bool, bool, int]] = [("#", 0, True, False, 0)]
         self._parts: list[str] = []
-        self._linked, self._plain = 0, 0
+        self._linked = 0
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -113,7 +127,7 @@ class Page:
                 self._end(tag)
                 continue
             self._start(tag, m[3])
-            if tag in RAW:  # its content has no tags
+            if tag in RAW:  # its content has no tags, and is not shown
                 close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = close.end() if close else len(html)
                 self._end(tag)
@@ -123,25 +137,21 @@ class Page:
 
     def _text(self, text: str) -> None:
         top = self._open[-1]
-        if top[2] != KEEP:
+        if not top[2]:
             return
         if "&" in text:
             text = unescape(text)
         self._parts.append(text)
-        if text and not text.isspace():
-            if top[4]:
-                self._linked += 1
-            else:
-                self._plain += 1
+        if top[3]:
+            self._linked += len(text)
 
     def _flush(self) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                _, slot, _, level, _ = self._open[-1]
-                self.blocks.append((slot, text, level, bool(self._linked and not self._plain)))
+                self.blocks.append((self._open[-1][1], text, min(self._linked, len(text))))
             self._parts = []
-        self._linked = self._plain = 0
+            self._linked = 0
 
     def _pop_to(self, index: int) -> None:
         if any(e[0] in BLOCK for e in self._open[index:]):
@@ -158,38 +168,25 @@ class Page:
             self._close_implied(tag)
         if tag in VOID:
             return
-        _, parent, state, level, linked = self._open[-1]
-        words: list[str] = []
-        role = ""
+        _, slot, shown, linked, depth = self._open[-1]
+        signature = tag
         if "=" in attributes or "hidden" in attributes:
             found = _attributes(attributes)
-            words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
-            words = [w.lower() for w in words]
-            role = found.get("role", "").lower()
             if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-                state = DROP
-            if found.get("itemprop") == "articleBody":
-                role = role or "main"
-        signature = f"{tag}.{'.'.join(words)}" if words else tag
-        key = (parent, signature)
-        slot = self._known.get(key)
-        if slot is None:
-            slot = self._known[key] = len(self.slots)
-            self.slots.append(key)
-        if state == HEAD_ONLY and tag in HEADINGS:
-            state = KEEP
-        elif state == KEEP:
-            if tag in ("body", "html"):
-                pass
-            elif tag == "article" and not FURNITURE_WORDS.intersection(words):
-                level = 2
-            elif tag in FURNITURE_TAGS or role in FURNITURE_ROLES or FURNITURE_WORDS.intersection(words):
-                state = DROP
-            elif tag == "header" or HEADER_WORDS.intersection(words):
-                state = HEAD_ONLY if level else DROP
-            elif level < 1 and (tag == "main" or role == "main" or is_block and MAIN_WORDS.intersection(words)):
-                level = 1
-        self._open.append((tag, slot, state, level, linked or tag == "a"))
+                shown = False
+            role = "main" if found.get("itemprop") == "articleBody" else found.get("role", "").lower()
+            words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
+            if words or role:
+                signature = f"{tag}@{role}.{'.'.join(words).lower()}"
+        if tag in SILENT:
+            shown = False
+        if is_block and shown and depth < DEPTH and tag not in ROOTS:
+            key = (slot, signature)
+            if (slot := self._known.get(key)) is None:
+                slot = self._known[key] = len(self.slots)
+                self.slots.append(key)
+            depth += 1
+        self._open.append((tag, slot, shown, linked or tag == "a", depth))
 
     def _close_implied(self, tag: str) -> None:
         names = ENDED_BY_SIBLING.get(tag, ())
@@ -211,44 +208,31 @@ class Page:
                     self._flush()
                 self._pop_to(i)
                 return
-            if inline and name in BLOCK or name in SCOPES and tag not in SCOPES | LIST_SCOPES | {"tr", "body", "html", "article", "main", "section", "div"}:
+            if inline and name in BLOCK or name in SCOPES and tag not in NESTABLE:
                 return
 
-    def content(self, constant=frozenset(), slot_of=None) -> str:
-        level = max((b[2] for b in self.blocks), default=0)
-        found = [b for b in self.blocks if b[2] == level and (level or not b[3])]
-        if constant:
-            varying = [b for b in found if (slot_of[b[0]], text_key(b[1])) not in constant]
-            found = varying or found
-        return "\n\n".join(b[1] for b in found)
-
-
-def text_key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) >> 11  # 53 bits, exact in JSON
-
 
 class Template:
-    """The union of aligned folded trees of a host: signatures, children, and counts of texts by slot."""
+    """The union of aligned folded trees of a host: signatures, children, and the pages that have each slot."""
 
     def __init__(self):
-        self.signature, self.children = ["#"], [[]]
-        self.texts: dict[int, dict[int, int]] = {}
-        self.pages = 0
-        self._aligned: dict[tuple, list[int]] = {}
-
-    def align(self, slots: list[tuple[int, str]]) -> list[int]:
-        """Template slot of each slot of a tree given as [(parent, signature)]; slots it lacks are added."""
-        key = tuple(slots)
-        if (found := self._aligned.get(key)) is None:
-            children: list[list[int]] = [[] for _ in slots]
-            for i, (parent, _) in enumerate(slots):
-                if parent >= 0:
-                    children[parent].append(i)
-            found = [0] * len(slots)
-            self._graft(0, 0, [s for _, s in slots], children, found)
-            if len(self._aligned) > 5000:
-                self._aligned.clear()
-            self._aligned[key] = found
+        self.signature, self.children, self.seen, self.pages = ["#"], [[]], [0], 0
+
+    def add(self, slots: list[tuple[int, str]], n: int | list[int], pages: int) -> None:
+        """Align a tree given as [(parent, signature)], seen ``n`` times; slots the template lacks are added."""
+        found = self.align(slots, grow=True)
+        for i, s in enumerate(found):
+            self.seen[s] += n if isinstance(n, int) else n[i]
+        self.pages += pages
+
+    def align(self, slots: list[tuple[int, str]], grow: bool = False) -> list[int]:
+        """The template slot of each slot of a tree. Without ``grow`` a slot that the template lacks gets its parent's."""
+        children: list[list[int]] = [[] for _ in slots]
+        for i, (parent, _) in enumerate(slots):
+            if parent >= 0:
+                children[parent].append(i)
+        found = [0] * len(slots)
+        self._map(0, 0, [s for _, s in slots], children, found, {}, grow)
         return found
 
     def _match(self, a: int, b: int, signature, children, memo) -> int:
@@ -268,8 +252,8 @@ class Template:
             table.append(row)
         return table
 
-    def _graft(self, a: int, b: int, signature, children, found, memo=None) -> None:
-        memo = {} if memo is None else memo
+    def _pairs(self, a: int, b: int, signature, children, memo) -> dict[int, int]:
+        """The children of b that map to children of a."""
         table = self._table(a, b, signature, children, memo)
         i, j = len(self.children[a]), len(children[b])
         pairs: dict[int, int] = {}
@@ -283,127 +267,297 @@ class Template:
                 i -= 1
             else:
                 j -= 1
+        return pairs
+
+    def _map(self, a: int, b: int, signature, children, found, memo, grow: bool) -> None:
+        pairs = self._pairs(a, b, signature, children, memo)
         place = 0
         for y in children[b]:
             if y in pairs:
                 x = pairs[y]
                 place = self.children[a].index(x) + 1
-                found[y] = x
-                self._graft(x, y, signature, children, found, memo)
-            else:
+                inner = memo
+            elif grow:
                 x = len(self.signature)
                 self.signature.append(signature[y])
                 self.children.append([])
+                self.seen.append(0)
                 self.children[a].insert(place, x)
                 place += 1
-                found[y] = x
-                self._graft(x, y, signature, children, found, {})
-
-    def add_page(self, page: Page) -> None:
-        slot = self.align(page.slots)
-        self.pages += 1
-        for s, key in {(slot[b[0]], text_key(b[1])) for b in page.blocks}:
-            self._count(s, key, 1)
-
-    def _count(self, slot: int, key: int, n: int) -> None:
-        counts = self.texts.setdefault(slot, {})
-        counts[key] = counts.get(key, 0) + n
-        if len(counts) > 2 * TEXTS:  # Misra-Gries: take the same off all, so that TEXTS remain
-            off = sorted(counts.values())[-TEXTS - 1]
-            self.texts[slot] = {k: v - off for k, v in counts.items() if v > off}
-
-    def merge(self, other: Template) -> None:
-        parents = [-1] * len(other.signature)
-        order = [0]
-        for s in order:  # parents before children
-            for c in other.children[s]:
-                parents[c] = s
-                order.append(c)
-        place = {s: i for i, s in enumerate(order)}
-        slot = self.align([(place.get(parents[s], -1), other.signature[s]) for s in order])
-        self.pages += other.pages
-        for s, counts in other.texts.items():
-            for key, n in counts.items():
-                self._count(slot[place[s]], key, n)
-
-    def dump(self, constant_only: bool = False) -> str:
-        texts = self.texts
-        if constant_only:
-            least = max(MIN_PAGES, SHARE * self.pages)
-            texts = {s: kept for s, c in texts.items() if (kept := {k: n for k, n in c.items() if n >= least})}
-        return json.dumps([self.signature, self.children, [[s, list(c.items())] for s, c in texts.items()], self.pages])
+                inner = {}
+            else:
+                self._follow(y, a, children, found)
+                continue
+            found[y] = x
+            self._map(x, y, signature, children, found, inner, grow)
+
+    def _follow(self, y: int, a: int, children, found) -> None:
+        stack = [y]
+        while stack:
+            y = stack.pop()
+            found[y] = a
+            stack += children[y]
+
+    def slots(self) -> tuple[list[tuple[int, str]], list[int]]:
+        """The tree as [(parent, signature)], parents first, without rare slots, and the pages of each slot."""
+        order, parents, place = [0], [-1], {0: 0}
+        for s in order:
+            for c in self.children[s]:
+                if self.seen[c] * RARE >= self.pages:
+                    place[c] = len(order)
+                    order.append(c)
+                    parents.append(place[s])
+        return [(p, self.signature[s]) for p, s in zip(parents, order)], [self.seen[s] for s in order]
+
+    def dump(self) -> str:
+        slots, seen = self.slots()
+        return json.dumps([slots, seen, self.pages])
 
     @classmethod
     def load(cls, text: str) -> Template:
+        """A template whose slots have the numbers of the dumped list."""
         out = cls()
-        out.signature, out.children, texts, out.pages = json.loads(text)
-        out.texts = {s: dict(map(tuple, items)) for s, items in texts}
+        slots, out.seen, out.pages = json.loads(text)
+        out.signature = [s for _, s in slots]
+        out.children = [[] for _ in slots]
+        for i, (parent, _) in enumerate(slots):
+            if parent >= 0:
+                out.children[parent].append(i)
         return out
 
 
-def host_of(url) -> F.Column:
+def _kind(signature: str) -> tuple[str, bool, bool]:
+    """Tag, whether of a main kind, whether of a furniture kind."""
+    tag, _, rest = signature.partition("@")
+    role, _, words = rest.partition(".")
+    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or not FURNITURE_WORDS.isdisjoint(words.split("."))
+    return tag, (tag in MAIN or role in ("main", "article")) and not furniture, furniture and tag not in ("html", "body", "#")
+
+
+def decide(slots: list[tuple[int, str]], stats: dict[int, tuple[int, int, int, int]]) -> list[int]:
+    """CONTENT, NEUTRAL or TEMPLATE for each template slot; ``stats``: slot -> (texts, repeated texts, length, linked length)."""
+    n = len(slots)
+    kinds = [_kind(s) for _, s in slots]
+    repeats, own = [0.0] * n, [0.0] * n
+    in_main, in_furniture = [False] * n, [False] * n
+    for s, (parent, _) in enumerate(slots):
+        if parent >= 0:
+            # an article within an article is a reader's comment
+            furniture = kinds[s][2] or kinds[s][0] == "article" and in_main[parent] and _inside(slots, kinds, parent, "article")
+            kinds[s] = (kinds[s][0], kinds[s][1] and not furniture, furniture)
+            in_main[s] = in_main[parent] or kinds[s][1]
+            in_furniture[s] = in_furniture[parent] or furniture
+        texts, repeated, share, linked = stats.get(s, (0, 0, 0, 0))
+        repeats[s] = repeated / texts if texts else 0.0
+        own[s] = (share - linked) * (1 - 0.9 * repeats[s]) * (PRIOR if in_main[s] else 1) / (PRIOR * PRIOR if in_furniture[s] else 1)
+    total = own[:]
+    for s in range(n - 1, 0, -1):
+        total[slots[s][0]] += total[s]
+    children: list[list[int]] = [[] for _ in slots]
+    for s in range(1, n):
+        children[slots[s][0]].append(s)
+
+    region, path = 0, [0]
+    while children[region] and kinds[region][0] != "article":
+        best = max(children[region], key=lambda c: (total[c], -c))
+        if total[best] < total[region] / 2 or not total[best]:
+            break
+        if kinds[best][0] in TEXTUAL or kinds[region][1] and not kinds[best][1]:
+            break
+        region = best
+        path.append(best)
+    inside = [False] * n
+    inside[region] = True
+    for s in range(region + 1, n):
+        inside[s] = inside[slots[s][0]]
+    main = in_main[region]
+    top = max((s for s in range(n) if inside[s]), key=lambda s: (own[s], -s))
+
+    out = [NEUTRAL] * n
+    for s in range(n):
+        parent = slots[s][0]
+        tag = kinds[s][0]
+        _, _, share, linked = stats.get(s, (0, 0, 0, 0))
+        dense = 2 * linked > share
+        if inside[s]:
+            small = kinds[s][2] and s != region and 2 * total[s] < total[region]
+            if s != region and out[parent] == TEMPLATE:
+                # the headings of a header within the region are content
+                out[s] = CONTENT if tag in HEADINGS and kinds[parent][0] == "header" and _only_header(slots, kinds, parent, region) else TEMPLATE
+            elif small or share and dense and (repeats[s] >= 0.5 or not main):
+                out[s] = TEMPLATE
+            elif share and s != top and repeats[s] >= 0.5 and stats[s][1] > 1 and repeats[top] < 0.5 and 2 * own[s] < total[region]:
+                out[s] = TEMPLATE
+            else:
+                out[s] = CONTENT
+        elif not main and tag in HEADINGS and parent in path and not in_furniture[s] and not dense and repeats[s] < 0.5:
+            out[s] = CONTENT  # the heading of a region that has no element of its own for both
+        elif in_furniture[s] or share and (dense or repeats[s] >= 0.5):
+            out[s] = TEMPLATE
+    return out
+
+
+def _inside(slots, kinds, s: int, tag: str) -> bool:
+    while s >= 0:
+        if kinds[s][0] == tag:
+            return True
+        s = slots[s][0]
+    return False
+
+
+def _only_header(slots, kinds, s: int, region: int) -> bool:
+    """Whether the header s is furniture by being a header only, and nothing around it up to the region is."""
+    s = slots[s][0]
+    while s != region:
+        if kinds[s][2]:
+            return False
+        s = slots[s][0]
+    return True
+
+
+def host_of(url) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(100_000)
-    held: dict[str, Template] = {}
+PARSED = "page_id long, url string, host string, shape string, blocks array<struct<slot:int,text:string,share:int,linked:int,first:boolean>>"
+_BLOCK = pa.struct([("slot", pa.int32()), ("text", pa.string()), ("share", pa.int32()), ("linked", pa.int32()), ("first", pa.bool_())])
+#: Lengths are counted in parts of the page, so that a very long page weighs as much as any other.
+WHOLE = 1_000_000
 
-    def sent():
-        return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array([t.dump() for t in held.values()], pa.string())], names=["host", "template"])
 
-    for batch in batches:
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(host, Template()).add_page(Page(html or ""))
-        if len(held) > HOSTS:
-            yield sent()
-            held.clear()
-    yield sent()
+def _weighed(page: Page) -> list[dict]:
+    known: set[tuple[int, str]] = set()
+    whole = max(1, sum(len(b[1]) for b in page.blocks))
+    out = []
+    for slot, text, linked in page.blocks:
+        first = (slot, text) not in known
+        known.add((slot, text))
+        out.append({"slot": slot, "text": text, "share": len(text) * WHOLE // whole, "linked": linked * WHOLE // whole, "first": first})
+    return out
 
 
-def _merge_templates(part: pd.DataFrame, last: bool) -> pd.DataFrame:
-    sys.setrecursionlimit(100_000)
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shapes: dict[tuple, str] = {}
+    for batch in batches:
+        drawn, found = [], []
+        for html in batch.column(3).to_pylist():
+            page = Page(html or "")
+            key = tuple(page.slots)
+            if key not in shapes:
+                if len(shapes) > 1000:
+                    shapes.clear()
+                shapes[key] = json.dumps(page.slots, separators=(",", ":"), ensure_ascii=False)
+            drawn.append(shapes[key])
+            found.append(_weighed(page))
+        yield pa.record_batch(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(drawn, pa.string()), pa.array(found, pa.list_(_BLOCK))],
+            names=["page_id", "url", "host", "shape", "blocks"],
+        )
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, shape, blocks): the folded tree of each page as JSON, and all its text blocks."""
+    url = F.col("url").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_parse, PARSED)
+
+
+def _unite_shapes(part: pd.DataFrame) -> pd.DataFrame:
+    sys.setrecursionlimit(20_000)
     whole = Template()
-    for text in sorted(part["template"]):
-        whole.merge(Template.load(text))
-    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [whole.dump(constant_only=last)]})
+    for n, shape in sorted(zip(part["n"].tolist(), part["shape"]), key=lambda r: (-r[0], r[1])):
+        whole.add([tuple(s) for s in json.loads(shape)], n, n)
+    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [whole.dump()]})
 
 
-def induce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): one row per host over all its pages.
+def _unite_templates(part: pd.DataFrame) -> pd.DataFrame:
+    sys.setrecursionlimit(20_000)
+    whole = Template()
+    for pages, text in sorted((-json.loads(t)[2], t) for t in part["template"]):
+        slots, seen, _ = json.loads(text)
+        whole.add([tuple(s) for s in slots], seen, -pages)
+    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [whole.dump()]})
 
-    Templates of a host are merged by salt, then over salts, so that a group holds
-    at most ``SALTS`` of them or a ``SALTS``-th of the map tasks' share.
-    """
-    parts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_learn, "host string, template string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)))
-    some = salted.groupBy("host", "salt").applyInPandas(lambda p: _merge_templates(p, last=False), "host string, template string")
-    return some.groupBy("host").applyInPandas(lambda p: _merge_templates(p, last=True), "host string, template string")
 
+def induce_templates(shapes: DataFrame) -> DataFrame:
+    """(host, template) from (host, shape, n): the union of a host's distinct trees."""
+    salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
+    some = salted.groupBy("host", "salt").applyInPandas(_unite_shapes, "host string, template string")
+    return some.groupBy("host").applyInPandas(_unite_templates, "host string, template string")
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(100_000)
-    templates: dict[str, tuple[Template, frozenset]] = {}
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape, template) -> (host, shape, place): the template slot of each slot of a tree."""
+    sys.setrecursionlimit(20_000)
+    held, template = None, Template()
     for batch in batches:
-        texts = []
-        for html, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            page = Page(html or "")
-            if text not in templates:
-                if len(templates) > HOSTS:
-                    templates.clear()
-                t = Template.load(text) if text else Template()
-                templates[text] = t, frozenset((s, k) for s, c in t.texts.items() for k in c)
-            template, constant = templates[text]
-            texts.append(page.content(constant, template.align(page.slots) if constant else None))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-
-def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for every page: blocks of the main text joined by blank lines."""
-    templates = materialize(induce_templates(pages), "templates")
-    seen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("_host"))
-    met = seen.join(templates, seen["_host"] == templates["host"], "left").select("page_id", "url", "html", "template")
-    return met.mapInArrow(_extract, "page_id long, url string, text string")
+        places = []
+        for shape, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if text != held:
+                held, template = text, Template.load(text)
+            places.append(template.align([tuple(s) for s in json.loads(shape)]))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], names=["host", "shape", "place"])
+
+
+def _decide_host(stats: pd.DataFrame, template: pd.DataFrame) -> pd.DataFrame:
+    """One host's slots (a few) and its template, which is there for every host; a host of empty pages has no slots."""
+    slots = [tuple(s) for s in json.loads(template["template"].iloc[0])[0]]
+    columns = ("slot", "texts", "repeated", "share", "linked", "fixed")
+    rows = list(zip(*(stats[c].tolist() for c in columns), stats["fixed_keys"]))
+    kinds = decide(slots, {r[0]: r[1:5] for r in rows})
+    fixed = [int(k) for r in rows if 2 * r[5] < r[3] for k in r[6]]  # in slots whose texts mostly vary
+    return pd.DataFrame({"host": [template["host"].iloc[0]], "kinds": [kinds], "fixed": [fixed]})
+
+
+def learn_hosts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, shape, place) and (host, kinds, fixed): where each tree lies in its host's template, and what its slots are."""
+    shapes = materialize(parsed.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
+    templates = materialize(induce_templates(shapes), "templates")
+    met = shapes.select("host", "shape").join(templates, "host").select("host", "shape", "template")
+    places = materialize(met.mapInArrow(_align, "host string, shape string, place array<int>"), "places")
+    spots = parsed.select("host", "shape", F.explode("blocks").alias("b")).join(places, ["host", "shape"])
+    slot = F.col("place")[F.col("b.slot")]
+    spots = spots.select("host", slot.alias("slot"), F.xxhash64(slot, "b.text").alias("key"), "b.share", "b.linked", "b.first")
+    texts = spots.groupBy("host", "slot", "key").agg(
+        F.sum(F.col("first").cast("int")).alias("pages"), F.sum("share").alias("share"), F.sum("linked").alias("linked")
+    )
+    size = shapes.groupBy("host").agg(F.greatest(F.lit(LEAST), F.sum("n") * SHARE).alias("least"))
+    fixed = F.col("pages") >= F.col("least")
+    stats = texts.join(size, "host").groupBy("host", "slot").agg(
+        F.count("*").alias("texts"),
+        F.sum((F.col("pages") > 1).cast("long")).alias("repeated"),
+        F.sum("share").alias("share"),
+        F.sum("linked").alias("linked"),
+        F.sum(F.when(fixed, F.col("share")).otherwise(0)).alias("fixed"),
+        F.collect_list(F.when(fixed, F.col("key"))).alias("fixed_keys"),  # each is on half of the pages: as many as two pages' blocks
+    )
+    schema = "host string, kinds array<int>, fixed array<long>"
+    decided = stats.groupBy("host").cogroup(templates.groupBy("host")).applyInPandas(_decide_host, schema)
+    return places, materialize(decided, "decided")
+
+
+def extract_text(pages: DataFrame, with_template: bool = True) -> DataFrame:
+    """(page_id, url, text) for every page: blocks of the main text joined by blank lines.
+
+    Without ``with_template`` every shown block is taken, which is what is left when nothing is induced.
+    """
+    parsed = materialize(parse_pages(pages), "parsed")
+    if not with_template:
+        return parsed.select("page_id", "url", F.array_join("blocks.text", "\n\n").alias("text"))
+    places, decided = learn_hosts(parsed)
+    met = parsed.join(places, ["host", "shape"]).join(decided, "host")
+
+    def of_kind(kind: int) -> Column:
+        return F.filter("blocks", lambda b: F.col("kinds")[F.col("place")[b["slot"]]] == kind)
+
+    def varying(blocks: Column) -> Column:
+        return F.filter(blocks, lambda b: ~F.array_contains("fixed", F.xxhash64(F.col("place")[b["slot"]], b["text"])))
+
+    met = met.select("page_id", "url", "place", "fixed", of_kind(CONTENT).alias("content"), of_kind(NEUTRAL).alias("neutral"))
+    met = met.withColumn("found", F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("neutral")))
+    met = met.withColumn("left", F.when(F.size("fixed") > 0, varying(F.col("found"))).otherwise(F.col("found")))
+    text = F.when(F.size("left") > 0, F.col("left.text")).otherwise(F.col("found.text"))
+    return met.select("page_id", "url", F.array_join(text, "\n\n").alias("text"))
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 
-from basinflow.llm.html_text import Page
 from basinflow.llm.queries import QUERIES
 from tests import parity
 from tests.llm import fixtures as fx
@@ -83,12 +82,3 @@ def test_simhash_dedup(spark, texts):
     codes = {d: slow_simhash(t, 4) for d, t in texts.items()}
     want = {d: (f"{codes[d]:016x}", c) for d, c in fx.components(codes, 4).items()}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in run(spark, "op8_simhash_dedup")} == want
-
-
-def test_html_text(spark):
-    pages = {r.page_id: r for r in spark.read.parquet(f"{parity.DATA}/pages.parquet").collect()}
-    rows = run(spark, "op10_html_text")
-    assert {r.page_id for r in rows} == set(pages) and len(rows) == len(pages)
-    for r in rows:
-        assert r.url == pages[r.page_id].url and r.n_chars == len(r.text)
-        assert r.text == Page(pages[r.page_id].html).content()  # no page of this table repeats a text of its host
