@@ -4,24 +4,29 @@ Fingerprints come from word shingles (see ``simhash_fingerprints``). Two
 fingerprints link at ``max_bits`` or fewer differing bits; documents group by the
 links' connected components.
 
-The search. 64 bits are cut into blocks; fingerprints within ``max_bits`` agree in
-at least ``blocks - max_bits`` whole blocks, so every choice of that many blocks
-gives a *table* in which each link is found among the fingerprints that agree on
-the chosen blocks (a group). More blocks make finer groups; the number is taken
-from the count of distinct fingerprints, so that random groups stay small at any
-size, and no choice loses a link. Each group is a hierarchical index: its
-fingerprints are sorted by Gray rank, so that neighbours differ in few bits; runs
-of ``LEAF`` make nodes that store the bit pattern all their members share and the
-mask of those bits, runs of nodes make upper nodes, and so on. A search goes down
-from pairs of upper nodes; the differing bits of two nodes' shared patterns are a
-lower bound on those of any two members, and pairs above ``max_bits`` are pruned
-with all they hold. Only leaf pairs that are left are compared bit by bit.
-
-Groups report a spanning forest of their links, not the links, so a dense group
-of m fingerprints sends at most m - 1 edges. Groups are counted first: where one is
-far above the average, its codes are searched in the finest tables, whose keys are
-the longest (32 bits at 4 bits' distance). Equal fingerprints are merged before
-the search (a grouped minimum), so thousands of copies are one entry.
+The index. Distinct fingerprints are sorted by Gray rank, so that neighbours differ
+in few bits. Runs of ``FAN`` make nodes that store the bit pattern all their members
+share and the mask of those bits; runs of nodes make upper nodes, up to a root of at
+most ``FAN``. A search goes down from pairs of the uppermost nodes. A pair brings
+the differences that its parents have accumulated and adds those in the bits that
+its own nodes share and its parents did not; above ``max_bits`` it is dropped with
+all it holds. Pairs of nodes whose members are all in one component already are
+dropped too, so a dense group isn't searched pair by pair.
+
+Partitions. Up to ``HOT`` fingerprints are one index. More are cut into groups of
+about ``GROUP``, each with an index of its own: 64 bits are cut into blocks;
+fingerprints within ``max_bits`` agree in at least ``blocks - max_bits`` whole
+blocks, so every choice of that many blocks, or some of its bits, is the key of a
+*table* of groups, and each link lies within a group of some table. A key takes
+only as many bits as make groups of ``GROUP``; more blocks are used when the bits
+of fewer don't suffice, so groups keep their size at any scale and no link is lost.
+Groups of over ``HOT`` are searched in the finest tables instead (32 bits at 4
+bits' distance), whose random groups hold a few rows.
+
+Groups arrive sorted and are searched one after another, so a task holds one group
+at a time. A group reports a spanning forest of its links: m fingerprints send at most
+m - 1 edges. Equal fingerprints are merged before the search (a grouped minimum), so
+thousands of copies are one entry.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like
 any other; repeated rows and ties share a fingerprint and so a component; a null
@@ -45,12 +50,14 @@ from basinflow.llm.common import keep_one_per_group, materialize, parallelism, r
 from basinflow.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Members of a leaf, and nodes under an upper node, of the hierarchical index.
-LEAF = 16
-#: Rows that a random group may hold on average before more blocks are used.
-GROUP = 64
-#: Codes in a group from which they are searched in the finest tables.
+#: Members of a node of the index.
+FAN = 4
+#: Codes of a random group.
+GROUP = 2048
+#: Codes that one index holds at most, unless its keys are the finest.
 HOT = 16_384
+#: Pairs of nodes that are opened at once.
+STEP = 1 << 15
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -87,15 +94,16 @@ def simhash_fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def tables(n: int, max_bits: int) -> list[int]:
-    """Masks of the tables for n distinct fingerprints: the fewest blocks whose random groups average ``GROUP`` rows."""
+    """Masks of the tables for n distinct fingerprints: the fewest blocks whose keys can part them into groups of ``GROUP``."""
+    if n <= HOT:
+        return [0]
+    width = (n // GROUP).bit_length()
     for blocks in range(max_bits + 1, max_bits + 5):
-        chosen = blocks - max_bits
         edges = [64 * i // blocks for i in range(blocks + 1)]
-        spans = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-        masks = [sum(c) for c in combinations(spans, chosen)]
-        if n <= GROUP << min(bin(m).count("1") for m in masks):
+        choices = [[b for i in c for b in range(edges[i], edges[i + 1])] for c in combinations(range(blocks), blocks - max_bits)]
+        if width <= min(map(len, choices)):
             break
-    return masks
+    return [sum(1 << b for b in bits[:width]) for bits in choices]
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -106,116 +114,160 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _nodes(pattern: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Upper nodes over runs of ``LEAF``: the bits on which all of a run agree."""
-    at = np.arange(0, len(pattern), LEAF)
-    ones = np.bitwise_and.reduceat(pattern & mask, at)
-    zeros = np.bitwise_and.reduceat(~pattern & mask, at)
-    return ones, ones | zeros
+class Forest:
+    """Components of 0..n-1, and the links that made them. ``label`` is each element's root."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for lo in range(0, len(i), 1 << 14):
+            a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            x, y = self.label[a], self.label[b]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                continue
+            # one link per pair of components is enough
+            _, first = np.unique(np.minimum(x, y)[apart] * len(self.label) + np.maximum(x, y)[apart], return_index=True)
+            parent: dict[int, int] = {}
+            for k in apart[first].tolist():
+                p, q = int(x[k]), int(y[k])
+                while p in parent:
+                    p = parent[p]
+                while q in parent:
+                    q = parent[q]
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    self.links.append((int(a[k]), int(b[k])))
+            roots = np.arange(len(self.label))
+            for p, q in parent.items():
+                roots[p] = q
+            while (deeper := roots[roots] != roots).any():
+                roots[deeper] = roots[roots[deeper]]
+            self.label = roots[self.label]
+
+
+class GrayIndex:
+    """The hierarchical index over distinct codes sorted by Gray rank; ``opened`` and ``pruned`` count pairs of upper nodes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.levels = [(codes, np.full(len(codes), np.uint64(2**64 - 1)))]
+        while len(self.levels[-1][0]) > FAN:
+            pattern, mask = self.levels[-1]
+            at = np.arange(0, len(pattern), FAN)
+            ones = np.bitwise_and.reduceat(pattern & mask, at)
+            zeros = np.bitwise_and.reduceat(~pattern & mask, at)
+            self.levels.append((ones, ones | zeros))
+        self.opened = self.pruned = 0
+
+    def search(self, max_bits: int, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked pairs (i, j), i < j. With a ``forest``, which the caller keeps up, pairs that are one component already may be left out."""
+        top = len(self.levels) - 1
+        i, j = np.triu_indices(len(self.levels[top][0]))
+        stack = [(top, i, j, np.zeros(len(i), np.uint8), np.zeros(len(i), np.uint64))]
+        while stack:
+            depth, i, j, apart, common = stack.pop()
+            pattern, mask = self.levels[depth]
+            shared = mask[i] & mask[j]
+            # the parents' differences, and those in bits that only now are shared
+            apart = apart + np.bitwise_count((pattern[i] ^ pattern[j]) & shared & ~common)
+            near = apart <= max_bits
+            if depth == 0:
+                near &= i < j
+                if near.any():
+                    yield i[near], j[near]
+                continue
+            if forest is not None:
+                low, high = self._components(depth, forest.label)
+                near &= (low[i] != high[i]) | (low[i] != low[j]) | (low[j] != high[j])
+            self.opened += int(near.sum())
+            self.pruned += int(len(near) - near.sum())
+            i, j, apart, common = i[near], j[near], apart[near], shared[near]
+            for lo in range(0, len(i), STEP):
+                part = slice(lo, lo + STEP)
+                stack.append((depth - 1, *self._below(depth, i[part], j[part], apart[part], common[part])))
+
+    def _below(self, depth: int, i, j, apart, common):
+        step = np.arange(FAN)
+        a = np.repeat(i * FAN, FAN * FAN) + np.tile(np.repeat(step, FAN), len(i))
+        b = np.repeat(j * FAN, FAN * FAN) + np.tile(step, len(j) * FAN)
+        ok = (a <= b) & (b < len(self.levels[depth - 1][0]))
+        return a[ok], b[ok], np.repeat(apart, FAN * FAN)[ok], np.repeat(common, FAN * FAN)[ok]
+
+    def _components(self, depth: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(0, len(label), FAN**depth)
+        return np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
 
 
 def hamming_links(codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j), i < j in Gray order, of all linked pairs of one group, found through the index.
+    """Indices (i, j), i < j, of all linked pairs of distinct codes sorted by Gray rank."""
+    found = list(GrayIndex(codes).search(max_bits))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(i for i, _ in found)]), np.concatenate([none, *(j for _, j in found)])
 
-    ``codes`` must be sorted by Gray rank.
-    """
-    full = np.full(len(codes), np.uint64(2**64 - 1))
-    levels = [(codes, full)]
-    while len(levels[-1][0]) > LEAF:
-        levels.append(_nodes(*levels[-1]))
-    top = len(levels[-1][0])
-    i, j = np.triu_indices(top)
-    for depth in range(len(levels) - 1, -1, -1):
-        pattern, mask = levels[depth]
-        found_i, found_j = [], []
-        for lo in range(0, len(i), 1 << 20):
-            a, b = i[lo : lo + (1 << 20)], j[lo : lo + (1 << 20)]
-            near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= max_bits
-            found_i.append(a[near])
-            found_j.append(b[near])
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
-        if depth == 0:
-            break
-        below = len(levels[depth - 1][0])
-        step = np.arange(LEAF)
-        i = np.repeat(i * LEAF, LEAF * LEAF) + np.tile(np.repeat(step, LEAF), len(i))
-        j = np.repeat(j * LEAF, LEAF * LEAF) + np.tile(step, len(j) * LEAF)
-        ok = (i <= j) & (j < below)
-        i, j = i[ok], j[ok]
-    apart = i < j
-    return i[apart], j[apart]
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
-    kept = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = a, b
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-#: A group above this size is searched slice by slice, so that memory stays bounded.
-SLICE = 4096
-
-
-def group_forest(codes: np.ndarray, nodes: np.ndarray, max_bits: int) -> Iterator[tuple[list, list]]:
-    """Spanning-forest edges (as node ids) of one group of distinct codes sorted by Gray rank."""
-    cuts = range(0, len(codes), SLICE)
-    for p in cuts:
-        for q in range(p, len(codes), SLICE):
-            if p == q:
-                at = np.arange(p, min(p + SLICE, len(codes)))
-            else:
-                at = np.r_[p : min(p + SLICE, len(codes)), q : min(q + SLICE, len(codes))]
-            i, j = hamming_links(codes[at], max_bits)
-            if len(i):
-                kept = _forest(len(at), i, j)
-                yield [int(nodes[at[a]]) for a, _ in kept], [int(nodes[at[b]]) for _, b in kept]
 
+def group_forest(codes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a group's links, as indices into its codes, which are sorted by Gray rank."""
+    forest = Forest(len(codes))
+    for i, j in GrayIndex(codes).search(max_bits, forest):
+        forest.add(i, j)
+    return forest.links
 
-def _search(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, k, fp, node) of whole groups -> edges."""
-    columns = [[], [], [], []]
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The codes of each group, from rows (t, k, fp) that are sorted by (t, k)."""
+    held: list[np.ndarray] = []
+    at = None
     for batch in batches:
-        for c, got in zip(columns, batch.columns):
-            c.append(got.to_numpy(zero_copy_only=False))
-    if not columns[0]:
-        return
-    t, k, fp, node = (np.concatenate(c) for c in columns)
-    code = fp.view(np.uint64)
-    order = np.lexsort((gray_rank(code), k, t))
-    t, k, code, node = t[order], k[order], code[order], node[order]
-    starts = np.r_[0, np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1, len(t)]
-    src: list[int] = []
-    dst: list[int] = []
-    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if hi - lo > 1:
-            for a, b in group_forest(code[lo:hi], node[lo:hi], max_bits):
-                src += a
-                dst += b
-        if len(src) > 100_000:
-            yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-            src, dst = [], []
-    yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        t, k, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(t):
+            continue
+        starts = np.r_[0, np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1, len(t)].tolist()
+        for lo, hi in zip(starts, starts[1:]):
+            if held and at != (t[lo], k[lo]):
+                yield np.concatenate(held)
+                held = []
+            at = (t[lo], k[lo])
+            held.append(fp[lo:hi])
+    if held:
+        yield np.concatenate(held)
+
+
+def _search(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (t, k, fp) of whole groups -> edges."""
+    edges: list[np.ndarray] = []
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        out = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+        return pa.record_batch([pa.array(np.ascontiguousarray(out[:, c])) for c in (0, 1)], names=["src", "dst"])
+
+    for fp in _whole_groups(batches):
+        if len(fp) > 1:
+            code = fp.view(np.uint64)
+            order = np.argsort(gray_rank(code))
+            links = group_forest(code[order], max_bits)
+            if links:
+                edges.append(fp[order][np.array(links)])
+                size += len(links)
+        if size > 100_000:
+            yield sent()
+            edges, size = [], 0
+    yield sent()
 
 
 def _in_tables(codes: DataFrame, masks: list[int]) -> DataFrame:
-    """(t, k, fp, node): each code (fp) once per table, keyed by its bits under the table's mask."""
+    """(t, k, fp): each code (fp) once per table, keyed by its bits under the table's mask."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)]
-    return codes.select(F.explode(F.array(*keys)).alias("g"), "fp").select("g.t", "g.k", "fp", F.col("fp").alias("node"))
+    return codes.select(F.explode(F.array(*keys)).alias("g"), "fp").select("g.t", "g.k", "fp")
 
 
 def _group_links(keyed: DataFrame, max_bits: int) -> DataFrame:
     # One entry per distinct code: a key that holds many documents is still small.
-    return keyed.repartition(parallelism(keyed.sparkSession), "t", "k").mapInArrow(lambda it: _search(it, max_bits), "src long, dst long")
+    dealt = keyed.repartition(parallelism(keyed.sparkSession), "t", "k").sortWithinPartitions("t", "k")
+    return dealt.mapInArrow(lambda it: _search(it, max_bits), "src long, dst long")
 
 
 def find_links(codes: DataFrame, n: int, max_bits: int) -> DataFrame:

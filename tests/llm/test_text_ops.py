@@ -169,24 +169,28 @@ def test_gray_index_finds_every_link(n):
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
 
 
-@pytest.mark.parametrize("n", [10, 10**6, 10**9])
+@pytest.mark.parametrize("n", [10, 10**5, 10**6, 10**9, 10**11])
 def test_every_table_choice_is_complete(n):
     masks = simhash.tables(n, 4)
+    assert n >> masks[0].bit_count() <= simhash.HOT
     rng = np.random.default_rng(1)
     for _ in range(300):
         diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
         assert any(diff & m == 0 for m in masks)
 
 
-def test_big_groups_are_searched_in_slices(monkeypatch):
-    monkeypatch.setattr(simhash, "SLICE", 50)
+@pytest.mark.parametrize("dense", [False, True])
+def test_a_group_reports_a_spanning_forest(monkeypatch, dense):
+    monkeypatch.setattr(simhash, "STEP", 64)
     rng = np.random.default_rng(2)
-    codes = np.unique(rng.integers(0, 2**10, 300, dtype=np.uint64))
+    codes = np.unique(rng.integers(0, 2**9 if dense else 2**14, 300, dtype=np.uint64))
     codes = codes[np.argsort(simhash.gray_rank(codes))]
-    edges = [(a, b) for x, y in simhash.group_forest(codes, codes.astype(np.int64), 2) for a, b in zip(x, y)]
+    links = simhash.group_forest(codes, 2)
     want = fx.components({int(c): int(c) for c in codes}, 2)
+    assert len(links) == len(codes) - len(set(want.values()))
     have = {int(c): {int(c)} for c in codes}
-    for a, b in edges:
+    for i, j in links:
+        a, b = int(codes[i]), int(codes[j])
         assert (a ^ b).bit_count() <= 2
         union = have[a] | have[b]
         for c in union:
@@ -194,6 +198,29 @@ def test_big_groups_are_searched_in_slices(monkeypatch):
     assert {c: min(s) for c, s in have.items()} == want
 
 
+def test_upper_nodes_prune(spark):
+    """On the table that the bench reads, upper nodes drop most pairs, and what is left is every link."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    codes = np.array(sorted({r.fp for r in simhash.simhash_fingerprints(docs).collect()}), np.int64).view(np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    index = simhash.GrayIndex(codes)
+    found = {(int(a), int(b)) for i, j in index.search(4) for a, b in zip(i, j)}
+    near = np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4, 1)
+    assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert len(index.levels) >= 5 and index.pruned > index.opened / 2
+    assert index.opened * simhash.FAN**2 < len(codes) ** 2 / 2  # pairs compared, against all pairs
+
+
+def test_groups_cross_batches():
+    import pyarrow as pa
+
+    t, k, fp = [0, 0, 0, 1, 1, 1, 1, 2], [5, 5, 6, 6, 6, 6, 6, 6], list(range(8))
+    whole = pa.record_batch([pa.array(x, pa.int64()) for x in (t, k, fp)], names=["t", "k", "fp"])
+    for size in (1, 2, 3, 8):
+        parts = [whole.slice(i, size) for i in range(0, 8, size)]
+        assert [g.tolist() for g in simhash._whole_groups(iter(parts))] == [[0, 1], [2], [3, 4, 5, 6], [7]]
+
+
 def test_hot_groups_are_searched_in_the_finest_tables(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 20)
     rng = np.random.default_rng(3)
