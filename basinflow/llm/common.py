@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,37 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Run(NamedTuple):
+    """A table that is hash-bucketed and sorted by its key, so that merges with another one of that key move no rows."""
+
+    name: str
+    path: str
+    frame: DataFrame
+
+    def drop(self) -> None:
+        spark = self.frame.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_table(spark, self.path)
+
+
+def write_run(df: DataFrame, key: str, tag: str) -> Run:
+    """Write ``df`` bucketed and sorted by ``key`` under the shared folder."""
+    spark = df.sparkSession
+    path, name = table_path(spark, tag), f"basinflow_{tag}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parallelism(spark), key).sortBy(key).option("path", path).saveAsTable(name)
+    return Run(name, path, spark.table(name))
+
+
+def doubling_batch(key: Column, rows: int, base: int) -> tuple[Column, int]:
+    """A batch number for each key, and how many there are: the first two batches hold about ``base`` rows, each later one as many as all before it.
+
+    Batches are dealt by hash, so there are about log2(rows / base) of them at any size.
+    """
+    bits = max(0, (rows // base).bit_length() - 1)
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    return F.length(F.ltrim(F.bin(draw), F.lit("0"))).cast("int"), bits + 1
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

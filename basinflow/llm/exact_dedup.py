@@ -2,15 +2,24 @@
 
 Each map task is a writer. It fills a *memtable* (one Arrow batch): equal texts
 in it are found by digest and compared byte by byte, and one representative per
-text is kept with the number of rows it stands for. The memtable is flushed as a
-digest-sorted *run* whose Parquet files carry Bloom filters and min/max
-statistics on the digest. *Compaction* merges runs by digest and keeps one
-identifier and the summed count. A digest that meets itself in two memtables is
-a *hit*: the texts behind hits, and only those, are read again and grouped by
-their bytes, so that two texts that merely share a digest stay apart.
+text is kept with the number of rows it stands for. Memtables are flushed to a
+log, and the index takes the log's representatives in batches that double in size.
+
+A batch is grouped by digest and meets the *runs* of the index, tables that are
+bucketed and sorted. Each run has a *filter*: its sorted *tags*, the first ``TAG``
+bytes of its digests. The batch merges with the filter first; only entries that
+pass it are looked up in the run, and a run that no entry passes to is not read.
+Entries that no run has are new. An entry that a run has is a hit: it goes into the
+new run with the better identifier of the two and the rows of both, so that the
+newest entry of a digest tells all. A level of ``fanout`` runs is compacted into
+one run of the next level, which keeps the newest entry of each digest.
+
+The texts behind digests that two memtables share, and only those, are read again
+and grouped by their bytes, so that two texts that merely share a digest stay apart.
 
 One memtable sends one row per text however many copies it holds, so a group
-with a third of all rows reaches compaction as one row per memtable.
+with a third of all rows reaches the index as one row per memtable. Rows of texts that
+occur once are never joined with anything but the index's repeated digests.
 
 Defined results: a null text counts as empty; rows with a null doc_id are
 ordinary rows that lose against any row with an id; of rows that tie on doc_id
@@ -22,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import free_name, materialize, read_table, table_path
+from basinflow.llm.common import Run, doubling_batch, free_name, materialize, read_table, table_path, write_run
 
-RUN_SCHEMA = "doc_id long, row_no long, digest binary, rep_no long, n_rows long, raw long"
+#: Bytes of a digest that its tag holds: 1 in 2**40 / (entries of a run) passes a filter in vain.
+TAG = 5
+LOG_SCHEMA = "doc_id long, row_no long, digest binary, rep_no long, n_rows long, raw long"
 
 
 def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.RecordBatch]:
@@ -75,18 +87,15 @@ def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.Reco
         seen += len(own)
 
 
-def flush_runs(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """Level-0 runs: a row per document; ``n_rows`` > 0 marks a memtable's representatives."""
+def flush_log(docs: DataFrame, keep: str, base: int) -> tuple[DataFrame, int]:
+    """The log, a row per document with its batch, and the number of batches; ``n_rows`` > 0 marks a memtable's representatives."""
     spark = docs.sparkSession
     sign = 1 if keep == "largest" else -1
-    runs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _memtables(it, sign), RUN_SCHEMA)
-    path = table_path(spark, "runs")
-    (
-        runs.write.option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.adaptive.enabled", "true")
-        .parquet(path)
-    )
-    return spark.read.schema(RUN_SCHEMA).parquet(path)
+    batch, batches = doubling_batch(F.col("row_no"), docs.count(), base)
+    log = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _memtables(it, sign), LOG_SCHEMA)
+    path = table_path(spark, "log")
+    log.withColumn("batch", F.when(F.col("n_rows") > 0, batch).otherwise(-1)).write.partitionBy("batch").parquet(path)
+    return spark.read.schema(LOG_SCHEMA + ", batch int").parquet(path), batches
 
 
 def _order(keep: str) -> F.Column:
@@ -95,33 +104,114 @@ def _order(keep: str) -> F.Column:
     return F.struct(F.col("doc_id").isNotNull().alias("known"), doc.alias("rank"), (-F.col("row_no")).alias("row"))
 
 
-def dedup_index(docs: DataFrame, keep: str = "largest") -> DataFrame:
+class DigestIndex:
+    """Levels of runs (tag, digest, n, n_reps, top): the rows and memtables that had a digest so far, and the best identifier."""
+
+    def __init__(self, fanout: int = 3):
+        self.fanout = fanout
+        self.levels: list[list[tuple[Run, Run]]] = []
+
+    def add(self, reps: DataFrame, keep: str) -> None:
+        """Add a batch of representatives (digest, doc_id, row_no, raw, n_rows)."""
+        tag = F.conv(F.hex(F.substring("digest", 1, TAG)), 16, 10).cast("long")
+        top = F.max(F.struct(_order(keep).alias("o"), "doc_id", "raw")).alias("top")
+        counts = reps.select("*", tag.alias("tag")).groupBy("tag", "digest").agg(F.sum("n_rows").alias("n"), F.count("*").alias("n_reps"), top)
+        if not self.levels:
+            return self._push(0, counts)
+        batch = write_run(counts, "tag", "batch")
+        hits = self.hits(batch.frame)
+        if hits is None:
+            self._push(0, batch.frame)
+        else:
+            fresh = batch.frame.join(hits.select("tag", "digest"), ["tag", "digest"], "left_anti")
+            grown = hits.select(
+                "tag", "digest", (F.col("n") + F.col("had.n")).alias("n"), (F.col("n_reps") + F.col("had.n_reps")).alias("n_reps"),
+                F.greatest("top", "had.top").alias("top"),
+            )
+            self._push(0, fresh.unionByName(grown))
+        batch.drop()
+
+    def hits(self, batch: DataFrame) -> DataFrame | None:
+        """The rows of ``batch`` whose digest a run has, with the newest entry (``had``), or None."""
+        found = []
+        for run, tags in (r for level in self.levels for r in level):
+            passed = materialize(batch.join(tags.frame.hint("merge"), "tag", "left_semi"), "passed")
+            if not passed.isEmpty():
+                entry = F.struct("n", "n_reps", "top").alias("had")
+                found.append(passed.join(run.frame.select("tag", "digest", entry), ["tag", "digest"]))
+        if not found:
+            return None
+        own = [F.first(c).alias(c) for c in ("n", "n_reps", "top")]
+        met = reduce(DataFrame.unionByName, found).groupBy("tag", "digest").agg(*own, F.max("had").alias("had"))
+        met = materialize(met, "hits")
+        return None if met.isEmpty() else met
+
+    def _push(self, level: int, entries: DataFrame) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        run = write_run(entries, "tag", f"run{level}")
+        self.levels[level].append((run, write_run(run.frame.select("tag").distinct(), "tag", f"filter{level}")))
+        if len(self.levels[level]) >= self.fanout:
+            old, self.levels[level] = self.levels[level], []
+            self._push(level + 1, self._newest([r.frame for r, _ in old]))
+            for run, tags in old:
+                run.drop()
+                tags.drop()
+
+    def _newest(self, runs: list[DataFrame]) -> DataFrame:
+        newest = reduce(DataFrame.unionByName, runs).groupBy("tag", "digest").agg(F.max(F.struct("n", "n_reps", "top")).alias("e"))
+        return newest.select("tag", "digest", "e.n", "e.n_reps", "e.top")
+
+    def repeated(self) -> DataFrame:
+        """(digest, keep_id, keep_row, keep_raw, group_size, n_reps) of every digest of several rows."""
+        runs = [r.frame.where("n > 1") for level in self.levels for r, _ in level]
+        return self._newest(runs).select("digest", *_winner(F.col("n")), "n_reps")
+
+    def drop(self) -> None:
+        for level in self.levels:
+            for run, tags in level:
+                run.drop()
+                tags.drop()
+        self.levels = []
+
+
+def _winner(size: F.Column) -> list[F.Column]:
+    return [F.col("top.doc_id").alias("keep_id"), (-F.col("top.o.row")).alias("keep_row"), F.col("top.raw").alias("keep_raw"), size.alias("group_size")]
+
+
+def dedup_index(docs: DataFrame, keep: str = "largest", base: int = 20_000, fanout: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_no, digest, raw, keep_id, keep_row, keep_raw, group_size.
 
     ``raw`` is the text's ``xxhash64``; with doc_id it finds a row again.
 
-    ``keep`` is ``largest`` or ``smallest`` (doc_id of the row that stays).
+    ``keep`` is ``largest`` or ``smallest`` (doc_id of the row that stays); ``base``: rows of the first batch.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep: largest or smallest")
-    runs = flush_runs(docs, keep)
-    reps = runs.where("n_rows > 0")
-    best = F.max(F.struct(_order(keep).alias("o"), "doc_id", "raw")).alias("top")
-    winner = [F.col("top.doc_id").alias("keep_id"), (-F.col("top.o.row")).alias("keep_row"), F.col("top.raw").alias("keep_raw"), F.col("group_size")]
-    merged = reps.groupBy("digest").agg(best, F.sum("n_rows").alias("group_size"), F.count("*").alias("n_reps"))
-    level1 = materialize(merged.select("digest", *winner, "n_reps").sortWithinPartitions("digest"), "level1")
-    hits = reps.join(level1.where("n_reps > 1").select("digest"), "digest", "left_semi")
+    log, batches = flush_log(docs, keep, base)
+    reps = log.where("batch >= 0")
+    index = DigestIndex(fanout)
+    for b in range(batches):
+        index.add(log.where(F.col("batch") == b), keep)
+    repeated = materialize(index.repeated(), "repeated")
+    index.drop()
+    hits = reps.join(repeated.where("n_reps > 1").select("digest"), "digest", "left_semi")
     clash = materialize(_clashes(docs, hits), "clash")
     columns = ["doc_id", "row_no", "digest", "raw", "keep_id", "keep_row", "keep_raw", "group_size"]
+    own = {"keep_id": "doc_id", "keep_row": "row_no", "keep_raw": "raw"}
+    met = log.join(repeated, "digest", "left").withColumn("alone", F.col("group_size").isNull())
+    met = met.withColumns({k: F.when(F.col("alone"), F.col(v)).otherwise(F.col(k)) for k, v in own.items()})
+    met = met.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     if clash.isEmpty():
-        return runs.join(level1, "digest").select(columns)
+        return met.select(columns)
     # Texts that share a digest: their bytes part them.
     bodies = _bodies(docs, hits.join(clash, "digest", "left_semi")).withColumnRenamed("doc_id", "_doc")
     parted = hits.join(bodies, F.col("doc_id").eqNullSafe(F.col("_doc")) & (hits.digest == bodies.digest)).select(hits["*"], "body")
-    groups = parted.groupBy("digest", "body").agg(best, F.sum("n_rows").alias("group_size")).select("digest", "body", *winner)
+    top = F.max(F.struct(_order(keep).alias("o"), "doc_id", "raw")).alias("top")
+    groups = parted.groupBy("digest", "body").agg(top, F.sum("n_rows").alias("n")).select("digest", "body", *_winner(F.col("n")))
     by_rep = parted.join(groups, ["digest", "body"]).select(F.col("row_no").alias("rep_no"), "keep_id", "keep_row", "keep_raw", "group_size")
-    apart = runs.join(by_rep, "rep_no").select(columns)
-    return runs.join(clash, "digest", "left_anti").join(level1, "digest").select(columns).unionByName(apart)
+    apart = log.join(by_rep, "rep_no").select(columns)
+    return met.join(clash, "digest", "left_anti").select(columns).unionByName(apart)
 
 
 def _bodies(docs: DataFrame, hits: DataFrame) -> DataFrame:

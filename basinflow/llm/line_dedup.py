@@ -2,17 +2,21 @@ r"""Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line with ``[\x20\x09-\x0D]`` stripped at both ends and A-Z
 lower-cased; the index holds 128 bits of its SHA-256 and in how many documents it
-was seen. The index is a list of levels of *runs*, Parquet tables sorted by hash.
-A new batch of documents is counted by hash, merge-anti-joined with the runs to
-find the hashes that are new, and added as a run of its own: new hashes as first
-entries, the others as increments. When a level holds ``fanout`` runs they are
-compacted, by adding up, into one run of the next level, so a hash takes part in
-about log(batches) merges.
+has been seen so far. The index is a list of levels of *runs*, tables bucketed and
+sorted by hash, so that merging two of them moves no rows. A batch of documents is
+counted by hash and merged with the runs: hashes that the anti-join with every run
+leaves are new and enter with the batch's count; hashes that a run has enter with
+that run's count and the batch's added up, unless that count has reached
+``min_docs``: such a hash is settled, and nothing more is written of it. So the
+count of a hash stands in its newest entry, and an entry is dropped by a greater one
+when a level holds ``fanout`` runs and they are compacted into one run of the next
+level. Batches double in size: there are about log2 of them, and the last merge
+is as large as the corpus.
 
 Keys found in at least ``min_docs`` documents lose all their lines everywhere.
 Counts are combined before every shuffle, so a line that a third of all documents
-share is one row per task. Only hashes are joined with the index; texts move once,
-to meet the flags of their own lines.
+share is one row per task. Only hashes are merged; texts move once, to meet the
+flags of their own lines.
 
 Defined results: a null or empty text is one empty line, which has no key and
 stays; lines whose key is shorter than ``min_chars`` code points stay; each row
@@ -27,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import ascii_lower, ascii_strip, drop_table, keyed_documents, materialize, read_table, table_path, with_doc_id
+from basinflow.llm.common import Run, ascii_lower, ascii_strip, doubling_batch, keyed_documents, materialize, read_table, table_path, with_doc_id, write_run
 
 
 def line_keys(text: Column, min_chars: int = 1) -> Column:
@@ -41,70 +45,74 @@ def line_keys(text: Column, min_chars: int = 1) -> Column:
 
 
 class LineIndex:
-    """Levels of sorted runs (key, n, fresh). ``n`` adds up over runs; ``fresh`` marks the first entry of a key."""
+    """Levels of sorted runs (key, n): ``n`` documents had the key when the entry was written; the newest entry has most."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self._retired: list[str] = []
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.levels: list[list[Run]] = []
 
-    def _runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for _, run in level]
+    def runs(self) -> list[DataFrame]:
+        return [run.frame for level in self.levels for run in level]
 
-    def entries(self) -> DataFrame | None:
-        runs = self._runs()
-        return reduce(DataFrame.unionByName, runs) if runs else None
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch, a row (key) for each document and key in it. Returns the batch's run."""
+    def add(self, keys: DataFrame) -> None:
+        """Add a batch, a row (key) for each document and key in it."""
         counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-        held = self.entries()
-        if held is None:
-            run = counts.withColumn("fresh", F.lit(True))
-        else:
-            counts = materialize(counts, "batch")
-            seen = held.where("fresh").select("key").hint("merge")
-            run = counts.join(seen, "key", "left_anti").withColumn("fresh", F.lit(True))
-            run = run.unionByName(counts.join(seen, "key", "left_semi").withColumn("fresh", F.lit(False)))
-        return self._push(0, run)
-
-    def _push(self, level: int, run: DataFrame) -> DataFrame:
-        path = table_path(self.spark, f"run{level}")
-        run = materialize(run.sortWithinPartitions("key"), f"run{level}", path)
+        runs = self.runs()
+        if not runs:
+            return self._push(0, counts)
+        batch = write_run(counts, "key", "batch")
+        fresh = self.unseen(batch.frame)
+        met = [batch.frame.join(run.select("key", F.col("n").alias("had")).hint("merge"), "key") for run in runs]
+        again = reduce(DataFrame.unionByName, met).groupBy("key").agg(F.max("n").alias("n"), F.max("had").alias("had"))
+        grown = again.where(F.col("had") < self.min_docs).select("key", (F.col("n") + F.col("had")).alias("n"))
+        self._push(0, fresh.unionByName(grown))
+        batch.drop()
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` whose key no run has."""
+        for run in self.runs():
+            batch = batch.join(run.select("key").hint("merge"), "key", "left_anti")
+        return batch
+
+    def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append((path, run))
+        self.levels[level].append(write_run(run, "key", f"run{level}"))
         if len(self.levels[level]) >= self.fanout:
-            old = self.levels[level]
-            self.levels[level] = []
-            merged = reduce(DataFrame.unionByName, [r for _, r in old])
-            self._push(level + 1, merged.groupBy("key").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")))
-            self._retired += [gone for gone, _ in old]
-        return run
-
-    def vacuum(self) -> None:
-        """Delete runs that compaction has replaced; frames returned by ``add`` may read them until then."""
-        for gone in self._retired:
-            drop_table(self.spark, gone)
-        self._retired = []
-
-    def counts(self) -> DataFrame:
-        """(key, n_docs) of every key."""
-        return self.entries().groupBy("key").agg(F.sum("n").alias("n_docs"))
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept) per document; ``kept`` is what stays, joined by newlines."""
+            old, self.levels[level] = self.levels[level], []
+            self._push(level + 1, self._newest([r.frame for r in old]))
+            for run in old:
+                run.drop()
+
+    def _newest(self, runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.max("n").alias("n"))
+
+    def common(self) -> DataFrame:
+        """(key) of all that at least ``min_docs`` documents have."""
+        return reduce(DataFrame.unionByName, self.runs()).where(F.col("n") >= self.min_docs).select("key").distinct()
+
+    def drop(self) -> None:
+        for level in self.levels:
+            for run in level:
+                run.drop()
+        self.levels = []
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, base: int = 20_000, fanout: int = 3) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept) per document; ``kept`` is what stays, joined by newlines. ``base``: documents of the first batch."""
     spark = docs.sparkSession
     keyed, plain = keyed_documents(docs)
     texts = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    lines = materialize(texts.select("doc", line_keys(F.col("text"), min_chars).alias("keys")), "lines")
-    index = LineIndex(spark, fanout)
+    batch, batches = doubling_batch(F.col("doc"), keyed.count(), base)
+    path = table_path(spark, "lines")
+    # A folder for each batch: a batch reads its own lines only.
+    texts.select("doc", line_keys(F.col("text"), min_chars).alias("keys"), batch.alias("batch")).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema("doc long, keys array<string>, batch int").parquet(path)
+    index = LineIndex(spark, min_docs, fanout)
     for b in range(batches):
-        batch = lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        index.add(batch.select(F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"))
-    common = materialize(index.counts().where(F.col("n_docs") >= min_docs).select("key", F.lit(True).alias("hit")), "common")
-    index.vacuum()
+        index.add(lines.where(F.col("batch") == b).select(F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"))
+    common = materialize(index.common().select("key", F.lit(True).alias("hit")), "common")
+    index.drop()
     flags = (
         lines.select("doc", F.posexplode("keys").alias("pos", "key"))
         .join(common, "key", "left")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from basinflow.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from basinflow.llm import chat, common, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 from basinflow.llm.components import connected_components
 from tests.llm import fixtures as fx
 
@@ -36,20 +36,42 @@ def key(x):
 
 
 def test_line_dedup(docs, rows, empty):
-    got = line_dedup.dedup_lines(docs, min_docs=10, batches=5, fanout=2).select("doc_id", "n_lines", "n_dropped", "kept").collect()
+    got = line_dedup.dedup_lines(docs, min_docs=10, base=4, fanout=2).select("doc_id", "n_lines", "n_dropped", "kept").collect()
     assert sorted(map(tuple, got), key=key) == sorted(fx.line_dedup([r[:2] for r in rows], 10), key=key)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_index_compacts_and_counts(spark):
-    index = line_dedup.LineIndex(spark, fanout=2)
-    batches = [["a", "b", "a"], ["b", "c"], ["a"], ["c", "c", "d"], ["e"]]
-    fresh = [
-        sorted(r.key for r in index.add(spark.createDataFrame([(k,) for k in b], "key string")).where("fresh").collect()) for b in batches
-    ]
+def test_line_index_compacts_and_counts(spark, monkeypatch):
+    batches = [["a", "b", "a"], ["b", "c"], ["a"], ["c", "c", "d", "a"], ["e", "a"]]
+    keys = lambda b: spark.createDataFrame([(k,) for k in b], "key string")
+    index = line_dedup.LineIndex(spark, min_docs=3, fanout=2)
+    fresh = []
+    for b in batches:
+        fresh.append(sorted({r.key for r in index.unseen(keys(b)).collect()}))
+        index.add(keys(b))
     assert fresh == [["a", "b"], ["c"], [], ["d"], ["e"]]
-    assert {r.key: r.n_docs for r in index.counts().collect()} == Counter(k for b in batches for k in b)
+    assert {r.key for r in index.common().collect()} == {"a", "c"}
+    newest = {r.key: r.n for r in index._newest(index.runs()).collect()}
+    assert newest == {"a": 3, "b": 2, "c": 3, "d": 1, "e": 1}  # "a" was settled at 3
     assert len(index.levels) > 1 and all(len(level) < 2 for level in index.levels)
+    # merges move no rows of a run
+    batch = common.write_run(keys("abc"), "key", "batch").frame
+    assert "Exchange" not in index.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    # without the anti-join, counts come out wrong
+    monkeypatch.setattr(line_dedup.LineIndex, "unseen", lambda self, batch: batch.limit(0))
+    blind = line_dedup.LineIndex(spark, min_docs=2, fanout=2)
+    for b in batches:
+        blind.add(keys(b))
+    assert {r.key for r in blind.common().collect()} != {"a", "b", "c"}
+
+
+def test_batches_double(spark):
+    batch, n = common.doubling_batch(F.col("id"), 1 << 14, 1 << 10)
+    sizes = Counter(r.b for r in spark.range(1 << 14).select(batch.alias("b")).collect())
+    assert n == 5 and sorted(sizes) == list(range(n))
+    assert all(abs(sizes[b] - (1 << 10 << max(0, b - 1))) < 150 << b for b in range(n))
+    assert common.doubling_batch(F.col("id"), 0, 10)[1] == common.doubling_batch(F.col("id"), 9, 10)[1] == 1
 
 
 def test_suffix_dedup(docs, rows, empty):
@@ -92,6 +114,28 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.drop_duplicates_exact(empty).count() == 0
 
 
+def test_digest_index_probes_filters_and_compacts(spark, docs, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.dedup_index(docs).select("doc_id", "digest", "keep_id", "group_size").collect()), key=key)
+    passed, levels = [], []
+    hits = exact_dedup.DigestIndex.hits
+
+    def watched(self, batch):
+        levels.append([len(level) for level in self.levels])
+        for _, tags in (r for level in self.levels for r in level):
+            passed.append((batch.join(tags.frame, "tag", "left_semi").count(), batch.count()))
+        return hits(self, batch)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "hits", watched)
+    small = exact_dedup.dedup_index(docs, base=4, fanout=2).select("doc_id", "digest", "keep_id", "group_size")
+    assert sorted(map(tuple, small.collect()), key=key) == want
+    assert any(0 < n < m for n, m in passed) and any(n == 0 for n, _ in passed)  # some runs are read for a few entries, some not at all
+    assert max(map(len, levels)) > 1
+    # a filter that lets nothing pass loses the hits between batches
+    monkeypatch.setattr(exact_dedup.DigestIndex, "hits", lambda self, batch: None)
+    blind = exact_dedup.dedup_index(docs, base=4, fanout=2).select("doc_id", "digest", "keep_id", "group_size")
+    assert sorted(map(tuple, blind.collect()), key=key) != want
+
+
 def test_exact_dedup_parts_texts_that_share_a_digest(spark, docs, rows, monkeypatch):
     # with a digest of one value every hit needs its bytes
     monkeypatch.setattr(exact_dedup, "_memtables", _one_digest_memtables)
