@@ -66,7 +66,12 @@ def repeats(texts: list[str], depth: int) -> list[tuple[bytes, list[tuple[int, i
 
 
 def components(codes: dict, max_bits: int) -> dict:
-    ids = sorted(codes)
+    return linked(codes, lambda a, b: (a ^ b).bit_count() <= max_bits)
+
+
+def linked(items: dict, link) -> dict:
+    """The smallest key that each key reaches by links."""
+    ids = sorted(items)
     parent = {i: i for i in ids}
 
     def root(i):
@@ -76,7 +81,7 @@ def components(codes: dict, max_bits: int) -> dict:
 
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if (codes[a] ^ codes[b]).bit_count() <= max_bits:
+            if link(items[a], items[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}

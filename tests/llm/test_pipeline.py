@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -12,7 +13,6 @@ import pytest
 import corpus_pipeline
 from basinflow.llm import quality
 from basinflow.llm.queries import ORACLE_SQL, QUERIES
-from basinflow.llm.simhash import fingerprint
 from tests import parity
 from tests.llm import fixtures as fx
 
@@ -52,8 +52,18 @@ def test_exact_stage(spark, docs):
 
 
 def test_near_stage(spark, docs):
+    """Of each component of five-word likeness 0.8 or more, the smallest doc_id stays."""
     kept = STAGES["simhash near-dedup"](spark, docs, parity.DATA)
-    comp = fx.components({r.doc_id: fingerprint(r.text, 4) for r in docs.collect()}, 4)
+    rows = docs.collect()
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", fx.lower(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    comp = fx.linked(sets, alike)
+    assert len(set(comp.values())) < len(rows)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
 
 

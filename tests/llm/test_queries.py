@@ -62,7 +62,6 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     pieces: dict[int, list] = {}
     for r in run(spark, "op6_packing"):
         pieces.setdefault(r.doc_id, []).append(r)

@@ -290,7 +290,6 @@ def test_packing_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     pieces = packing.pack_documents(docs, max_len=64, with_ids=True).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces)
     whole = defaultdict(list)
@@ -421,6 +420,25 @@ def test_chat_perspectives(spark):
     assert learned == ["Hi<|im_end|>\n", "Bye é<|im_end|>\n", "Bye é<|im_end|>\n"] and ann.n_turns == 5 and ann.n_learned == 3
     assert "<|im_start|>user name=bob\n<|im_end|>" in ann.text and ann.text.startswith("<|im_start|>system\nBe kind.")
     assert got[1, "bob"].text.count("user name=ann") == 3
-    halves = chat.render_perspectives(df.where("conv_id = 1 AND role <> 'system'"), block=2).where("perspective = 'ann'").orderBy("block").collect()
-    assert [r.block for r in halves] == [0, 1]
     assert chat.render_perspectives(df.limit(0)).count() == 0
+
+
+def test_parts_of_a_long_conversation_join_to_its_rendering(spark):
+    """A conversation of any length, ties and null turns too, is rendered as if in one part; the system turn comes once."""
+    said = [(None, None if i % 5 == 0 else i % 40, ("ann", "bob", "cy")[i % 3], f"line {i % 100}") for i in range(2000)]
+    said += [(1, 0, "system", "Be kind. <|im_end|>")] + [(1, i, ("ann", "bob")[i % 2], f"é {i}") for i in range(1, 700)] + [(2, 0, "ann", "x")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(7)
+    whole = {(r.conv_id, r.perspective): r for r in chat.render_perspectives(df, 10**6).collect()}
+    assert len(whole) == 6 and all(r.part == r.offset == 0 for r in whole.values())
+    parts = defaultdict(list)
+    for r in chat.render_perspectives(df, 64).collect():
+        parts[r.conv_id, r.perspective].append(r)
+    for k, rows in parts.items():
+        rows.sort(key=lambda r: r.part)
+        text = "".join(r.text for r in rows)
+        assert text == whole[k].text and [r.part for r in rows] == list(range(len(rows)))
+        assert [m for r in rows for m in r.mask] == whole[k].mask
+        assert all(r.n_turns <= 64 and r.offset == sum(len(x.text) for x in rows[: r.part]) for r in rows)
+        assert sum(r.n_turns for r in rows) == whole[k].n_turns and len(whole[k].mask) == whole[k].n_learned
+    assert whole[1, "ann"].text.count("Be kind.") == 1
+    assert [whole[1, "ann"].text[m.start : m.stop] for m in whole[1, "ann"].mask] == [f"é {i}<|im_end|>\n" for i in range(2, 700, 2)]
