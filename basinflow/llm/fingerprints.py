@@ -4,10 +4,14 @@ Anchors are k-mers of ``K`` words. A k-mer is chosen if the least hash among its
 inner substrings of ``S`` words lies at an edge (first or last), which depends on
 nothing outside the k-mer: a text that is moved or edited elsewhere keeps the
 anchors of its unchanged parts, about one in two k-mers. A document starts with
-K - 1 blank words, so short texts have anchors too. ``syncmer_anchors`` gives
-(doc_id, position, hash) for positional matching. The likeness of two texts is the
-Jaccard likeness of their whole sets of anchor hashes; the printed fingerprint, a
-digest that nothing is computed from, shows the ``SIZE`` least of them.
+K - 1 blank words, so short texts have anchors too.
+
+The fingerprint is the whole list of anchors in text order, each with its distance in
+words from the one before: nothing is left out of it. Two texts are matched by
+position: a *link* is two neighbouring anchors at their distance, so a link that both
+texts have is a stretch of words that lies alike in both, wherever it begins. The
+likeness is the share of words in common links among the words of all distinct links
+of both.
 
 Everything is JVM-side and within a row, so nothing is grouped. ``edit_chain``
 needs each document's successor: documents are cut into ranges of doc_id, a
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from basinflow.llm.common import keyed_documents, let, parallelism, read_table, with_doc_id
 
-K, S, SIZE = 5, 2, 128
+K, S = 5, 2
+#: Bits of a fingerprint's value that hold the distance; larger ones count as the largest.
+GAP = 4
 #: Ranges per shuffle partition, so that hashing them to partitions comes out even.
 RANGES = 4
 #: Cuts are searched in two steps of about this many.
@@ -66,24 +72,47 @@ def _edge_kmers(text: Column, with_position: bool) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= K, chosen(h)).otherwise(F.array().cast(kind)))
 
 
-def anchor_set(text: Column) -> Column:
-    """array<long>: all distinct anchor hashes, ascending."""
-    return F.sort_array(F.array_distinct(_edge_kmers(text, False)))
+def anchor_list(text: Column) -> Column:
+    """array<long>: every anchor in text order, its hash and below it the distance from the one before (or the start)."""
+
+    def with_gap(a: Column) -> Column:
+        def value(x: Column, i: Column) -> Column:
+            gap = x["position"] - F.when(i == 0, F.lit(-1).cast("long")).otherwise(a[F.greatest(i - 1, F.lit(0))]["position"])
+            return F.shiftleft(x["hash"], GAP).bitwiseOR(F.least(gap, F.lit((1 << GAP) - 1).cast("long")))
+
+        return F.transform(a, value)
+
+    return let(_edge_kmers(text, True), with_gap)
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    """Eight lower-case hex digits for each of the ``SIZE`` least anchors."""
-    return F.array_join(F.transform(F.slice(anchors, 1, SIZE), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """Nine lower-case hex digits for each anchor: eight of its hash, one of its distance."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x)), 9, "0")), "")
+
+
+def links(anchors: Column) -> Column:
+    """array<long>: the distinct pairs of neighbouring anchors, hashed, with their distance in the lowest bits."""
+    gap = (1 << GAP) - 1
+
+    def link(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.shiftright(anchors[F.greatest(i - 1, F.lit(0))], GAP))
+        return F.xxhash64(before, x).bitwiseAND(F.lit(~gap)).bitwiseOR(x.bitwiseAND(F.lit(gap)))
+
+    return F.array_distinct(F.transform(anchors, link))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of common anchors among all of both sets."""
+    """0 to 1, of two arrays of links: the share of words in common links."""
+    gap = (1 << GAP) - 1
+
+    def words_in(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0).cast("long"), lambda n, v: n + v.bitwiseAND(F.lit(gap)))
 
     def share(shared: Column) -> Column:
-        union = F.size(a) + F.size(b) - shared
+        union = words_in(a) + words_in(b) - shared
         return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
-    return let(F.size(F.array_intersect(a, b)), share)
+    return let(words_in(F.array_intersect(a, b)), share)
 
 
 def syncmer_anchors(docs: DataFrame) -> DataFrame:
@@ -129,22 +158,23 @@ def edit_chain(docs: DataFrame) -> DataFrame:
     """Each document against a half-edited copy of itself and against its successor (contract of op5)."""
     keyed, plain = keyed_documents(docs)
     first = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    first = first.withColumn("anchors", anchor_set(F.col("text")))
+    first = first.withColumn("anchors", anchor_list(F.col("text")))
     pairs = with_successor(first, ["text", "anchors"])
     n = F.length("text").cast("int")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     made = pairs.select("doc", n.cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
-    made = made.withColumn("edited_anchors", anchor_set(F.col("edited")))
-    done = made.select(
+    made = made.withColumn("edited_anchors", anchor_list(F.col("edited")))
+    near = F.transform(F.array("edited_anchors", "next_anchors"), lambda other: likeness(F.col("own"), links(other)))
+    done = made.withColumn("own", links(F.col("anchors"))).select(
         "doc",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("anchors")).alias("fingerprint"),
         fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        near.alias("near"),
     )
+    done = done.select("doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
     return with_doc_id(done, keyed, plain)
 
 
