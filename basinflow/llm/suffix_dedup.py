@@ -51,6 +51,8 @@ from basinflow.llm.common import keyed_documents, parallelism, read_table, with_
 GRAM = 32
 #: Bytes of text that a task works on at a time.
 BLOCK = 1 << 20
+#: Rows that a task settles at a time.
+PORTION = 1 << 18
 #: Different second digits of one first digit in a block from which both digits deal the rows.
 WIDE = 8
 U = np.uint64
@@ -222,9 +224,24 @@ def _map_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
             yield _rows(marks, zero.view(U), zero, zero, zero, MARK)
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else None
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by d1, in portions of about ``PORTION`` rows that end where d1 changes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        last = batch.column(0)[-1]
+        if size >= PORTION and last != held[0].column(0)[0]:
+            rows = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(rows.column(0).to_numpy(), last.as_py()))  # rows of the last d1 wait for the next batch
+            yield rows.slice(0, cut)
+            held = rows.slice(cut).to_batches()
+            size -= cut
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 RANGES = "d1 long, doc long, lo int, hi int, kind byte"
@@ -240,10 +257,12 @@ def _ranges(d1, doc, lo, hi, kind) -> pa.RecordBatch:
 
 def _settle_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Pass 2 over all blocks: ranges to remove, and runs to open (lo and hi are their first and last starts)."""
-    got = _columns(batches)
-    if got is None:
-        return
-    d1, d2, doc, lo, hi, kind = got
+    for rows in _portions(batches):
+        yield from _settle_portion([c.to_numpy() for c in rows.columns], depth)
+
+
+def _settle_portion(rows: list[np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
+    d1, d2, doc, lo, hi, kind = rows
     done = kind == REMOVED
     yield _ranges(d1[done], doc[done], lo[done], hi[done], REMOVED)
     marked = d1[kind == MARK]
@@ -312,29 +331,23 @@ def _open_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Rec
 
 
 def _settle_windows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    numbers, bodies, sizes = [], [], []
-    for batch in batches:
-        if batch.num_rows:
-            numbers.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)])
-            got = batch.column(5).to_pylist()
-            sizes.append(np.array([len(x) // 8 for x in got], np.int64))
-            bodies.append(b"".join(got))
-    if not numbers:
-        return
-    d1, doc, lo, hi = (np.concatenate(c) for c in zip(*numbers))
-    count = np.concatenate(sizes)
-    w = np.frombuffer(b"".join(bodies), U)
-    row = np.repeat(np.arange(len(d1)), count)
-    start = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
-    done = hi > 0
-    out = [(doc[done], lo[done].astype(np.int64), hi[done].astype(np.int64))]
-    if len(w):
-        order = np.lexsort((start, doc[row], w, d1[row]))
-        key, digit = w[order], d1[row][order]
-        again = order[np.r_[False, (key[1:] == key[:-1]) & (digit[1:] == digit[:-1])]]
-        out.append((doc[row[again]], start[again], start[again] + depth))
-    merged = _merge(*(np.concatenate(c) for c in zip(*out)))
-    yield _ranges(np.zeros(len(merged[0]), np.int64), *merged, REMOVED)
+    """Pass 3 over all blocks: equal windows of one first digit; all but the earliest are removed."""
+    for rows in _portions(batches):
+        d1, doc, lo, hi = (rows.column(i).to_numpy() for i in (0, 2, 3, 4))
+        bodies = rows.column(5).to_pylist()
+        count = np.array([len(x) // 8 for x in bodies], np.int64)
+        w = np.frombuffer(b"".join(bodies), U)
+        row = np.repeat(np.arange(len(d1)), count)
+        start = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
+        done = hi > 0
+        out = [(doc[done], lo[done].astype(np.int64), hi[done].astype(np.int64))]
+        if len(w):
+            order = np.lexsort((start, doc[row], w, d1[row]))
+            key, digit = w[order], d1[row][order]
+            again = order[np.r_[False, (key[1:] == key[:-1]) & (digit[1:] == digit[:-1])]]
+            out.append((doc[row[again]], start[again], start[again] + depth))
+        merged = _merge(*(np.concatenate(c) for c in zip(*out)))
+        yield _ranges(np.zeros(len(merged[0]), np.int64), *merged, REMOVED)
 
 
 CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -375,7 +388,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
     n = parallelism(docs.sparkSession)
     texts = keyed.select("doc", "text")
     route = F.when(F.col("kind") == WIDE_OPEN, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
-    runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, route)
+    # Sorted, so that a task settles one portion after another and never holds its whole partition.
+    runs = texts.mapInArrow(lambda it: _map_runs(it, depth), ROWS).repartition(n, route).sortWithinPartitions("d1")
     settled = runs.mapInArrow(lambda it: _settle_runs(it, depth), RANGES)
     # The filter, which the inner join would add on its side alone, makes both sides the same: one exchange serves both joins.
     bodies = texts.mapInArrow(_squeeze, "doc long, body binary").where("doc IS NOT NULL")
@@ -387,6 +401,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
         .select("doc", "body", "runs")
         .mapInArrow(lambda it: _open_runs(it, depth), WINDOWS)
         .repartition(n, "d1", "spread")
+        .sortWithinPartitions("d1")
     )
     removed = settled.where(F.col("kind") == REMOVED).unionByName(windows.mapInArrow(lambda it: _settle_windows(it, depth), RANGES))
     ranges = removed.groupBy("doc").agg(span.alias("ranges"))

@@ -76,3 +76,15 @@ def test_a_passage_shared_by_all(monkeypatch):
     passage = noise(70)
     texts = [noise(rng.randrange(0, 200)) + passage + noise(rng.randrange(0, 200)) for _ in range(150)]
     assert passes(texts, 50) == fx.repeats(texts, 50)
+
+
+def test_portions_end_where_the_first_digit_changes(monkeypatch):
+    monkeypatch.setattr(sd, "PORTION", 4)
+    d1 = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5, 5, 5, 6]
+    whole = pa.record_batch([pa.array(d1, pa.int64()), pa.array(range(len(d1)), pa.int64())], names=["d1", "n"])
+    for size in (1, 3, 5, 20):
+        parts = list(sd._portions(iter([whole.slice(i, size) for i in range(0, len(d1), size)])))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == list(range(len(d1)))
+        keys = [set(p.column(0).to_pylist()) for p in parts]
+        assert all(not a & b for i, a in enumerate(keys) for b in keys[:i])
+        assert len(parts) > 1 or size == 20
