@@ -15,5 +15,9 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, order: str) -> None:
-    """Parquet folders by ``by``, rows sorted by ``order`` within a file, so that row-group statistics prune."""
-    df.repartition(by).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).parquet(path)
+    """Parquet folders by ``by``, rows sorted by ``order`` within a file, so that row-group statistics prune.
+
+    Rows are dealt by ranges of (by, order), so a value of ``by`` that holds most rows is written by many tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, by, order).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).parquet(path)

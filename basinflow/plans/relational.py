@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basinflow.functions.vectors import cosine
 from basinflow.operators.joins import asof_join, interval_join, salted_join
+from basinflow.operators.quantiles import exact_quantiles
 from basinflow.operators.windows import dedup_latest, sessionize, top_k_per_group
 from basinflow.sources.tables import register, table
 
@@ -117,14 +118,16 @@ SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, round(stddev_sam
 FROM orders GROUP BY o_orderpriority""")
 def order_statistics(spark, sf_dir):
     price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+    orders = table(spark, sf_dir, "orders")
+    plain = orders.groupBy("o_orderpriority").agg(
         F.countDistinct("o_custkey").alias("customers"),
         F.round(F.stddev_samp(price), 4).alias("sd"),
         F.round(F.var_pop(price) / 1e6, 4).alias("vp"),
-        F.round(F.median(price), 4).alias("med"),
-        F.round(F.percentile(price, 0.9), 4).alias("p90"),
         F.round(F.corr(price, F.col("o_custkey").cast("double")), 6).alias("co"),
     )
+    ranked = exact_quantiles(orders, "o_orderpriority", "o_totalprice", {"med": 0.5, "p90": 0.9})
+    ranked = ranked.select(F.col("o_orderpriority").alias("k"), F.round("med", 4).alias("med"), F.round("p90", 4).alias("p90"))
+    return plain.join(ranked, F.col("o_orderpriority").eqNullSafe(F.col("k"))).drop("k")
 
 
 @query("""
@@ -336,12 +339,10 @@ def array_functions(spark, sf_dir):
 @query("""
 SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word HAVING count(*) >= 20""")
 def word_counts(spark, sf_dir):
-    # A row is a document (doc_id is its key), so its distinct words are found inside it: counts combine before the only shuffle.
-    words = table(spark, sf_dir, "documents").select(F.split(F.lower("text"), " ", -1).alias("words"))
-    seen = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    marks = words.select(F.explode(F.concat(seen, once)).alias("m"))
-    return marks.groupBy("m.word").agg(F.sum("m.n").alias("n"), F.sum("m.docs").alias("docs")).where("n >= 20")
+    # Counts by document combine before the first shuffle, as a document's words lie together, and by word before the second.
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word"))
+    in_doc = words.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+    return in_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs")).where("n >= 20")
 
 
 @query("""

@@ -1,14 +1,22 @@
-"""Streams over the events table, each run to its end over the files that are there (``availableNow``)."""
+"""Streams over the events table, each run to its end over the files that are there (``availableNow``).
 
-from __future__ import annotations
+Results go to Parquet under the shared folder, so no stream passes through the driver.
+Windows are sent when the watermark has closed them (append mode): the windows that
+are still open at the end of the input are not part of a result.
+"""
 
-import uuid
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from basinflow.sources.shared import fresh_path
+
+#: Deliveries of ``late_stream``: on-time files, then one with the rows that come late.
+ON_TIME, LATE_ONE_IN = 3, 97
+
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """``events`` as a stream with ``ts`` as a timestamp (watermarks reject timestamp_ntz)."""
@@ -18,27 +26,67 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in several micro-batches: the rows in order, but one in ``LATE_ONE_IN`` of them comes after all others."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = fresh_path(spark, "deliveries")
+    late = F.col("event_id") % LATE_ONE_IN == 0
+    end = events.agg(F.max("event_id")).first()[0] or 0
+    turn = F.when(late, ON_TIME).otherwise(F.least(F.floor(F.col("event_id") * ON_TIME / (end + 1)), F.lit(ON_TIME - 1)))
+    for i in range(ON_TIME + 1):  # one delivery after another: a file source takes the oldest first
+        events.where(turn == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run ``stream`` until its input is used up and give what it put out (small results: a memory table)."""
+    """Run ``stream`` until its input is used up and give what it put out; in ``update`` and ``complete`` mode with a column ``batch``."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    out = fresh_path(spark, "drained")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def keep(batch: DataFrame, number: int) -> None:  # a batch that runs again overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and value by day and type, from a stream with a one-hour watermark (complete mode)."""
+    """Events and value by day and type, of the days that a one-hour watermark has closed."""
     stream = events_stream(spark, sf_dir).withWatermark("ts", "1 hour")
     counts = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return drain(counts, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by windows of two days that start every day."""
+    """Events by closed windows of two days that start every day."""
     stream = events_stream(spark, sf_dir).withWatermark("ts", "1 hour")
     counts = stream.groupBy(F.window("ts", "2 days", "1 day")).agg(F.count("*").alias("n"))
-    return drain(counts, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by closed day over several micro-batches; rows that come after their day was closed are dropped."""
+    stream = late_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    counts = stream.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type after each micro-batch (complete mode): the last batch has them all."""
+    counts = late_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    return drain(counts, "complete").groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user, of six hours' gap, that the watermark has closed."""
+    stream = events_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    found = stream.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    return drain(found, "append").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def first_of_user_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +95,26 @@ def first_of_user_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream, "append").groupBy("event_type").agg(F.count("*").alias("users"))
 
 
+def repeats_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event delivered twice in one batch: ``dropDuplicatesWithinWatermark`` lets one of them through and may forget it after a day."""
+    once = events_stream(spark, sf_dir).select("event_id", "ts", "event_type")
+    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withWatermark("ts", "1 day")
+    kept = twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
+    return drain(kept, "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def purchases_after_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-stream join: purchases and the views of the same user in the hour before. Both sides forget what no later row can meet."""
+    events = events_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    views = events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer"), F.col("ts").alias("seen"))
+    bought = events_stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    met = bought.withWatermark("ts", "1 hour").join(
+        views.withWatermark("seen", "1 hour"),
+        F.expr("user_id = viewer AND seen <= ts AND seen >= ts - INTERVAL 1 HOUR"),
+    )
+    return drain(met.select("event_id", "view_id"), "append")
+
+
 def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arbitrary state: a count and a sum per user, kept across micro-batches and sent on each change."""
 
@@ -58,7 +126,7 @@ def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     schema = "user_id long, n long, total double"
-    stream = events_stream(spark, sf_dir).select("user_id", "value")
+    stream = late_stream(spark, sf_dir).select("user_id", "value")
     totals = stream.groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
     return drain(totals, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
 
@@ -67,15 +135,42 @@ QUERIES = {
     "stream_user_totals": user_totals,
     "stream_tumbling_counts": tumbling_counts,
     "stream_sliding_counts": sliding_counts,
+    "stream_late_rows": late_counts,
+    "stream_running_counts": running_counts,
+    "stream_sessions": session_counts,
     "stream_dedup": first_of_user_and_type,
+    "stream_dedup_within_watermark": repeats_within_watermark,
+    "stream_join": purchases_after_views,
 }
 
 SQL = {
     "stream_user_totals": "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id",
     "stream_tumbling_counts": """
-SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""",
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
     "stream_sliding_counts": """
 SELECT CAST(s AS TIMESTAMP) AS start, count(*) AS n
-FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY ALL""",
+FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events)
+WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    # Spark judges lateness by the watermark that the batch before has used: that of the first two of three deliveries
+    "stream_late_rows": """
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events, (
+  SELECT max(ts) - INTERVAL 1 HOUR AS w, max(ts) FILTER (event_id % 97 <> 0 AND event_id * 3 // (m + 1) < 2) - INTERVAL 1 HOUR AS before
+  FROM events, (SELECT max(event_id) AS m FROM events))
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= w AND NOT (event_id % 97 = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= before)
+GROUP BY ALL""",
+    "stream_running_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "stream_sessions": """
+SELECT user_id, start, n FROM (
+  SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM (
+    SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+      SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
+  GROUP BY user_id, s)
+WHERE stop + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "stream_dedup": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+    "stream_dedup_within_watermark": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "stream_join": """
+SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR
+WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
 }

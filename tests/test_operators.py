@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from basinflow.operators.joins import asof_join, interval_join, salted_join
 from basinflow.operators.layout import write_bucketed, write_partitioned
+from basinflow.operators.quantiles import exact_quantiles
 from basinflow.operators.windows import sessionize, top_k_per_group
 from basinflow.sources.tables import read_files, table, write_files
 from tests.parity import DATA
@@ -18,18 +19,57 @@ def test_entry_and_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_asof_join_against_loop(spark):
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_asof_join_against_loop(spark, width):
     rng = random.Random(3)
-    left = [(i, rng.choice("ab"), rng.randrange(50)) for i in range(60)]
-    right = [(rng.choice("abc"), rng.randrange(50), rng.randrange(9)) for _ in range(40)]
-    got = asof_join(
-        spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t int, v int"), "k", "t", "t", ["v"]
-    ).collect()
+    some = lambda values: rng.choice([*values, None])
+    left = [(i, some("ab"), some(range(-9, 50))) for i in range(80)] * 2
+    right = [(some("abc"), some(range(-9, 50)), some(range(9))) for _ in range(60)]
+    lefts, rights = spark.createDataFrame(left, "v_ int, b string, t int"), spark.createDataFrame(right, "k string, t int, v int")
+    got = asof_join(lefts, rights.withColumnRenamed("k", "b"), "b", "t", "t", ["v"], width=width).collect()
+    low = lambda v: (v is not None, v)
     want = {}
     for i, k, t in left:
-        found = [(rt, v) for rk, rt, v in right if rk == k and rt <= t]
-        want[i] = max(found)[1] if found else None
-    assert {r.id: r.v for r in got} == want
+        found = [(rt, low(v)) for rk, rt, v in right if k is not None and t is not None and rt is not None and rk == k and rt <= t]
+        want[i] = max(found)[1][1] if found else None
+    assert len(got) == len(left) and {r.v_: r.v for r in got} == want
+    assert asof_join(lefts, rights.limit(0).withColumnRenamed("k", "b"), "b", "t", "t", ["v"]).where("v IS NOT NULL").isEmpty()
+    with pytest.raises(ValueError):
+        asof_join(lefts, rights.withColumnRenamed("k", "b"), "b", "t", "t", ["t"])
+
+
+def test_a_hot_key_of_an_asof_join_is_dealt_by_time(spark):
+    left = spark.range(1000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("t"))
+    right = spark.range(50).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") * 70_000).alias("t"), F.col("id").alias("v"))
+    found = asof_join(left, right, "k", "t", "t", ["v"])
+    assert "hashpartitioning(k#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", b#" in plan
+    assert all(r.v == min(49, int(r.t.timestamp()) // 70_000) for r in found.collect())
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+def test_exact_quantiles(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    groups = {"flat": rng.random(n), "hot": np.where(rng.random(n) < 0.6, 3.0, rng.random(n)), None: np.floor(rng.random(n) * 4)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("flat", None), ("none", None)]
+    wanted = {"least": 0.0, "q": 0.1, "mid": 0.5, "p99": 0.99, "most": 1.0}
+    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(rows, "k string, x double"), "k", "x", wanted).collect()}
+    assert set(got) == {*groups, "none"} and got["none"].mid is None
+    for k, v in groups.items():
+        for name, p in wanted.items():
+            assert abs(got[k][name] - np.quantile(v, p)) < 1e-9
+    assert exact_quantiles(spark.createDataFrame([], "k string, x double"), "k", "x", wanted).count() == 0
+
+
+def test_added_columns_take_free_names(spark):
+    df = spark.createDataFrame([(1, 5, 7), (1, 9, 8)], "rank_no int, bucket int, session_no int")
+    assert top_k_per_group(df, ["rank_no"], [F.col("bucket")], 1).columns == [*df.columns, "rank_no_"]
+    timed = df.withColumn("t", F.timestamp_seconds("bucket")).withColumnRenamed("bucket", "b")
+    out = sessionize(timed, "rank_no", "t", 4).orderBy("b").collect()
+    assert [r.session_no_ for r in out] == [1, 2] and [r.session_no for r in out] == [7, 8]
+    spans = spark.createDataFrame([(4, 6)], "lo int, hi int")
+    assert interval_join(df, spans, "bucket", "lo", "hi", 2).collect() == [(1, 5, 7, 4, 6)]
 
 
 def test_interval_join_against_loop(spark):
@@ -54,6 +94,21 @@ def test_sessions_break_at_the_gap(spark):
     assert [r.session_no for r in sessionize(df, "u", "t", 1800).orderBy("s").collect()] == [1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("width", [10, 300, 10**6])
+def test_sessions_against_loop(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice([1, 2, None]), i, rng.randrange(5000)) for i in range(150)]
+    df = spark.createDataFrame(rows, "u int, i int, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.i: r.session_no for r in sessionize(df, "u", "t", 40, width=width).collect()}
+    for user in (1, 2, None):
+        number, last = 0, None
+        for s, i in sorted((s, i) for u, i, s in rows if u == user):
+            number += last is None or s - last >= 40
+            assert got[i] == number
+            last = s
+    assert sessionize(df.limit(0), "u", "t", 40).count() == 0
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = top_k_per_group(table(spark, DATA, "orders"), ["o_custkey"], [F.desc("o_totalprice")], 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
@@ -89,6 +144,8 @@ def test_partitioned_files_are_pruned(spark, tmp_path):
     write_partitioned(table(spark, DATA, "orders"), path, "o_orderstatus", "o_orderdate")
     plan = spark.read.parquet(path).where("o_orderstatus = 'F'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
+    files = spark.read.parquet(path).select("o_orderstatus", F.input_file_name().alias("f")).distinct().groupBy("o_orderstatus").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in files) > len(files)  # a value is written by several tasks
 
 
 def test_streams_carry_state_and_drop_late_rows(spark, tmp_path):

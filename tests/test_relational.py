@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from basinflow.plans import analytic, relational
+from basinflow.plans import analytic, extended, relational
 from basinflow.streaming import queries as streaming
 from tests import parity
 
@@ -20,3 +20,8 @@ def test_analytic_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(streaming.QUERIES))
 def test_stream_matches_sql(spark, name):
     parity.check(spark, streaming.QUERIES[name], streaming.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(extended.QUERIES))
+def test_extended_query_matches_sql(spark, name):
+    parity.check(spark, extended.QUERIES[name], extended.SQL[name])
