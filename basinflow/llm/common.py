@@ -60,11 +60,19 @@ class Run(NamedTuple):
         drop_table(spark, self.path)
 
 
-def write_run(df: DataFrame, key: str, tag: str) -> Run:
-    """Write ``df`` bucketed and sorted by ``key`` under the shared folder."""
+#: Rows of the input for a bucket of its runs, up to as many buckets as there are shuffle partitions.
+BUCKET_ROWS = 25_000
+
+
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    return min(parallelism(spark), 1 + rows // BUCKET_ROWS)
+
+
+def write_run(df: DataFrame, key: str, tag: str, buckets: int) -> Run:
+    """Write ``df`` bucketed and sorted by ``key`` under the shared folder. Runs of as many buckets merge without a shuffle."""
     spark = df.sparkSession
     path, name = table_path(spark, tag), f"basinflow_{tag}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(parallelism(spark), key).sortBy(key).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return Run(name, path, spark.table(name))
 
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import Run, doubling_batch, free_name, materialize, read_table, table_path, write_run
+from basinflow.llm.common import Run, buckets_for, doubling_batch, free_name, materialize, read_table, table_path, write_run
 
 #: Bytes of a digest that its tag holds: 1 in 2**40 / (entries of a run) passes a filter in vain.
 TAG = 5
@@ -87,11 +87,11 @@ def _memtables(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.Reco
         seen += len(own)
 
 
-def flush_log(docs: DataFrame, keep: str, base: int) -> tuple[DataFrame, int]:
+def flush_log(docs: DataFrame, keep: str, rows: int, base: int) -> tuple[DataFrame, int]:
     """The log, a row per document with its batch, and the number of batches; ``n_rows`` > 0 marks a memtable's representatives."""
     spark = docs.sparkSession
     sign = 1 if keep == "largest" else -1
-    batch, batches = doubling_batch(F.col("row_no"), docs.count(), base)
+    batch, batches = doubling_batch(F.col("row_no"), rows, base)
     log = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _memtables(it, sign), LOG_SCHEMA)
     path = table_path(spark, "log")
     log.withColumn("batch", F.when(F.col("n_rows") > 0, batch).otherwise(-1)).write.partitionBy("batch").parquet(path)
@@ -107,8 +107,8 @@ def _order(keep: str) -> F.Column:
 class DigestIndex:
     """Levels of runs (tag, digest, n, n_reps, top): the rows and memtables that had a digest so far, and the best identifier."""
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
+    def __init__(self, buckets: int, fanout: int = 3):
+        self.buckets, self.fanout = buckets, fanout
         self.levels: list[list[tuple[Run, Run]]] = []
 
     def add(self, reps: DataFrame, keep: str) -> None:
@@ -118,7 +118,7 @@ class DigestIndex:
         counts = reps.select("*", tag.alias("tag")).groupBy("tag", "digest").agg(F.sum("n_rows").alias("n"), F.count("*").alias("n_reps"), top)
         if not self.levels:
             return self._push(0, counts)
-        batch = write_run(counts, "tag", "batch")
+        batch = write_run(counts, "tag", "batch", self.buckets)
         hits = self.hits(batch.frame)
         if hits is None:
             self._push(0, batch.frame)
@@ -149,8 +149,8 @@ class DigestIndex:
     def _push(self, level: int, entries: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        run = write_run(entries, "tag", f"run{level}")
-        self.levels[level].append((run, write_run(run.frame.select("tag").distinct(), "tag", f"filter{level}")))
+        run = write_run(entries, "tag", f"run{level}", self.buckets)
+        self.levels[level].append((run, write_run(run.frame.select("tag").distinct(), "tag", f"filter{level}", self.buckets)))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._newest([r.frame for r, _ in old]))
@@ -188,9 +188,10 @@ def dedup_index(docs: DataFrame, keep: str = "largest", base: int = 20_000, fano
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep: largest or smallest")
-    log, batches = flush_log(docs, keep, base)
+    rows = docs.count()
+    log, batches = flush_log(docs, keep, rows, base)
     reps = log.where("batch >= 0")
-    index = DigestIndex(fanout)
+    index = DigestIndex(buckets_for(docs.sparkSession, rows), fanout)
     for b in range(batches):
         index.add(log.where(F.col("batch") == b), keep)
     repeated = materialize(index.repeated(), "repeated")

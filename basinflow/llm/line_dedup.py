@@ -28,10 +28,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import Run, ascii_lower, ascii_strip, doubling_batch, keyed_documents, materialize, read_table, table_path, with_doc_id, write_run
+from basinflow.llm.common import Run, ascii_lower, ascii_strip, buckets_for, doubling_batch, keyed_documents, materialize, read_table, table_path, with_doc_id, write_run
 
 
 def line_keys(text: Column, min_chars: int = 1) -> Column:
@@ -47,8 +47,8 @@ def line_keys(text: Column, min_chars: int = 1) -> Column:
 class LineIndex:
     """Levels of sorted runs (key, n): ``n`` documents had the key when the entry was written; the newest entry has most."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, min_docs: int, buckets: int, fanout: int = 3):
+        self.min_docs, self.buckets, self.fanout = min_docs, buckets, fanout
         self.levels: list[list[Run]] = []
 
     def runs(self) -> list[DataFrame]:
@@ -60,7 +60,7 @@ class LineIndex:
         runs = self.runs()
         if not runs:
             return self._push(0, counts)
-        batch = write_run(counts, "key", "batch")
+        batch = write_run(counts, "key", "batch", self.buckets)
         fresh = self.unseen(batch.frame)
         met = [batch.frame.join(run.select("key", F.col("n").alias("had")).hint("merge"), "key") for run in runs]
         again = reduce(DataFrame.unionByName, met).groupBy("key").agg(F.max("n").alias("n"), F.max("had").alias("had"))
@@ -77,7 +77,7 @@ class LineIndex:
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(write_run(run, "key", f"run{level}"))
+        self.levels[level].append(write_run(run, "key", f"run{level}", self.buckets))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._newest([r.frame for r in old]))
@@ -103,12 +103,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, base: i
     spark = docs.sparkSession
     keyed, plain = keyed_documents(docs)
     texts = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    batch, batches = doubling_batch(F.col("doc"), keyed.count(), base)
+    rows = keyed.count()
+    batch, batches = doubling_batch(F.col("doc"), rows, base)
     path = table_path(spark, "lines")
     # A folder for each batch: a batch reads its own lines only.
     texts.select("doc", line_keys(F.col("text"), min_chars).alias("keys"), batch.alias("batch")).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("doc long, keys array<string>, batch int").parquet(path)
-    index = LineIndex(spark, min_docs, fanout)
+    index = LineIndex(min_docs, buckets_for(spark, rows), fanout)
     for b in range(batches):
         index.add(lines.where(F.col("batch") == b).select(F.explode(F.array_distinct("keys")).alias("key")).where("key <> ''"))
     common = materialize(index.common().select("key", F.lit(True).alias("hit")), "common")

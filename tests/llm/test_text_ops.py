@@ -44,7 +44,7 @@ def test_line_dedup(docs, rows, empty):
 def test_line_index_compacts_and_counts(spark, monkeypatch):
     batches = [["a", "b", "a"], ["b", "c"], ["a"], ["c", "c", "d", "a"], ["e", "a"]]
     keys = lambda b: spark.createDataFrame([(k,) for k in b], "key string")
-    index = line_dedup.LineIndex(spark, min_docs=3, fanout=2)
+    index = line_dedup.LineIndex(min_docs=3, buckets=4, fanout=2)
     fresh = []
     for b in batches:
         fresh.append(sorted({r.key for r in index.unseen(keys(b)).collect()}))
@@ -55,12 +55,12 @@ def test_line_index_compacts_and_counts(spark, monkeypatch):
     assert newest == {"a": 3, "b": 2, "c": 3, "d": 1, "e": 1}  # "a" was settled at 3
     assert len(index.levels) > 1 and all(len(level) < 2 for level in index.levels)
     # merges move no rows of a run
-    batch = common.write_run(keys("abc"), "key", "batch").frame
+    batch = common.write_run(keys("abc"), "key", "batch", 4).frame
     assert "Exchange" not in index.unseen(batch)._jdf.queryExecution().executedPlan().toString()
     index.drop()
     # without the anti-join, counts come out wrong
     monkeypatch.setattr(line_dedup.LineIndex, "unseen", lambda self, batch: batch.limit(0))
-    blind = line_dedup.LineIndex(spark, min_docs=2, fanout=2)
+    blind = line_dedup.LineIndex(min_docs=2, buckets=4, fanout=2)
     for b in batches:
         blind.add(keys(b))
     assert {r.key for r in blind.common().collect()} != {"a", "b", "c"}
