@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,10 +45,27 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or table_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that start within send Python workers ``BATCH_BYTES`` at a time, which bounds what a worker holds also where rows are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Run(NamedTuple):
     """A table that is hash-bucketed and sorted by its key, so that merges with another one of that key move no rows."""
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import Run, buckets_for, doubling_batch, free_name, materialize, read_table, table_path, write_run
+from basinflow.llm.common import Run, buckets_for, doubling_batch, free_name, materialize, read_table, small_batches, table_path, write_run
 
 #: Bytes of a digest that its tag holds: 1 in 2**40 / (entries of a run) passes a filter in vain.
 TAG = 5
@@ -94,7 +94,8 @@ def flush_log(docs: DataFrame, keep: str, rows: int, base: int) -> tuple[DataFra
     batch, batches = doubling_batch(F.col("row_no"), rows, base)
     log = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _memtables(it, sign), LOG_SCHEMA)
     path = table_path(spark, "log")
-    log.withColumn("batch", F.when(F.col("n_rows") > 0, batch).otherwise(-1)).write.partitionBy("batch").parquet(path)
+    with small_batches(spark):
+        log.withColumn("batch", F.when(F.col("n_rows") > 0, batch).otherwise(-1)).write.partitionBy("batch").parquet(path)
     return spark.read.schema(LOG_SCHEMA + ", batch int").parquet(path), batches
 
 

@@ -218,7 +218,8 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches):
         features = Features()
         for batch in batches:
-            scores = [model.score(features(t)) for t in batch.column(at).to_pylist()]
+            parts = (batch.column(at).slice(lo, 256).to_pylist() for lo in range(0, batch.num_rows, 256))  # few texts are alive at a time
+            scores = [model.score(features(t)) for part in parts for t in part]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(score, schema)
