@@ -115,6 +115,8 @@ def _pack(batches: Iterator[pa.RecordBatch], max_len: int, path: str | None, end
                 cols.append(pa.array(bodies, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(cols, names=names)
+            del cols, bodies
+            pa.default_memory_pool().release_unused()  # workers live on; what this stage needed is given back
 
 
 def pack_documents(
