@@ -50,20 +50,28 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of a batch between Spark and a Python worker.
+#: Bytes of a batch between Spark and a Python worker, and the setting that bounds them.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers of this session get ``BATCH_BYTES`` at a time from now on.
+
+    For operators whose result runs only when the caller writes it, where ``small_batches`` would be over by then.
+    """
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Plans that start within send Python workers ``BATCH_BYTES`` at a time, which bounds what a worker holds also where rows are long."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_BYTES)
+    before = spark.conf.get(BATCH_SETTING)
+    bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_SETTING, before)
 
 
 class Run(NamedTuple):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinflow.llm.common import free_name, read_table
+from basinflow.llm.common import bound_batches, free_name, read_table
 
 BITS = 18
 DIMS = 1 << BITS
@@ -210,7 +210,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **o
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a last column ``score`` (0 to 1; underscores are added if there is one already)."""
+    """The rows of ``docs`` with a last column ``score`` (0 to 1; underscores are added if there is one already).
+
+    Whole rows pass through Python workers, so the session's Arrow batches are bounded (``common.bound_batches``).
+    """
+    bound_batches(docs.sparkSession)
     name = free_name(docs, "score")
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
