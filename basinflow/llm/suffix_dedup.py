@@ -23,7 +23,10 @@ Skew. A pass first sorts inside the map task, which settles all but the earliest
 member of each equal group there, so a group of any size sends one row per block
 of text. A first digit with many different rows in a block is *wide*: its rows are
 dealt by both digits instead of one, a mark tells the others of that digit, and
-its windows are dealt one by one. No row, group or window is dropped.
+its windows are dealt one by one. A task reads its rows in sorted portions; a group
+longer than a portion is thinned as it comes: of equal rows the earliest waits for the
+rest, and a first digit with more different rows than a portion holds becomes wide. No
+row, group or window is dropped.
 
 Hashes are 128 bits in passes 2 and 3 (two 64-bit polynomial hashes of different
 bases over randomised bytes): windows that merely collide are not expected in any
@@ -224,26 +227,73 @@ def _map_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
             yield _rows(marks, zero.view(U), zero, zero, zero, MARK)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by d1, in portions of about ``PORTION`` rows that end where d1 changes."""
+def _portions(batches: Iterator[pa.RecordBatch], keys: int = 1, thin=None) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` columns, in portions of about ``PORTION`` rows that end where these change.
+
+    A group that is longer goes through ``thin``, which gives what can be settled now
+    and the few rows that the group's later rows must still meet.
+    """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, limit = 0, PORTION
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.num_rows
-        last = batch.column(0)[-1]
-        if size >= PORTION and last != held[0].column(0)[0]:
-            rows = pa.Table.from_batches(held)
-            cut = int(np.searchsorted(rows.column(0).to_numpy(), last.as_py()))  # rows of the last d1 wait for the next batch
+        if size < limit:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = np.ones(size, bool)
+        for i in range(keys):
+            key = rows.column(i).to_numpy()
+            last &= key == key[-1]
+        cut = size - int(last.sum())  # rows of the last group wait for the next batch
+        if cut:
             yield rows.slice(0, cut)
-            held = rows.slice(cut).to_batches()
-            size -= cut
+        rows = rows.slice(cut)
+        if thin and rows.num_rows > PORTION // 2:
+            settled, rows = thin(rows)
+            if settled.num_rows:
+                yield settled
+        held, size = rows.to_batches(), rows.num_rows
+        limit = PORTION + size
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _thin_runs(rows: pa.Table, depth: int) -> tuple[pa.Table, pa.Table]:
+    """Of one first digit: the first row of each second digit stays; too many of them make the digit wide, and a mark stays."""
+    d1, d2, doc, lo, hi, kind = (np.array(c.to_numpy()) for c in rows.columns)
+    marks, gone = np.flatnonzero(kind == MARK)[:1], np.flatnonzero(kind == REMOVED)
+    own = np.flatnonzero((kind != MARK) & (kind != REMOVED))
+    order = own[np.lexsort((lo[own], doc[own], d2[own]))]
+    new = np.ones(len(order), bool)
+    new[1:] = d2[order][1:] != d2[order][:-1]
+    first, again = order[new], order[~new]
+    if len(order):
+        kind[first] = np.maximum.reduceat(kind[order], np.flatnonzero(new))
+    hi[again] += depth
+    kind[again] = REMOVED
+    settled, stay = np.r_[gone, again], np.r_[marks, first]
+    part = lambda at: pa.Table.from_batches([_rows(d1[at], d2[at], doc[at], lo[at], hi[at], kind[at])])
+    if len(first) <= PORTION // 2:
+        return part(settled), part(stay)
+    kind[first] = WIDE_OPEN
+    zero = np.zeros(1, np.int64)
+    return part(np.r_[settled, first]), pa.Table.from_batches([_rows(d1[:1], zero, zero, zero, zero, MARK)])
+
+
+def _thin_windows(rows: pa.Table, depth: int) -> tuple[pa.Table, pa.Table]:
+    """Of one window of a wide first digit the earliest stays. Other digits hold few kinds, and wait whole."""
+    if not rows.column(1)[0].as_py():
+        return rows.slice(0, 0), rows
+    doc, lo = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+    order = np.lexsort((lo, doc))
+    again = rows.take(order[1:])
+    again = again.set_column(4, "hi", pa.array(lo[order[1:]] + np.int32(depth)))
+    return again.set_column(5, "hashes", pa.array([b""] * again.num_rows, pa.binary())), rows.take(order[:1])
+
+
 RANGES = "d1 long, doc long, lo int, hi int, kind byte"
 
 
@@ -257,7 +307,7 @@ def _ranges(d1, doc, lo, hi, kind) -> pa.RecordBatch:
 
 def _settle_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Pass 2 over all blocks: ranges to remove, and runs to open (lo and hi are their first and last starts)."""
-    for rows in _portions(batches):
+    for rows in _portions(batches, 1, lambda group: _thin_runs(group, depth)):
         yield from _settle_portion([c.to_numpy() for c in rows.columns], depth)
 
 
@@ -332,7 +382,7 @@ def _open_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Rec
 
 def _settle_windows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Pass 3 over all blocks: equal windows of one first digit; all but the earliest are removed."""
-    for rows in _portions(batches):
+    for rows in _portions(batches, 2, lambda group: _thin_windows(group, depth)):
         d1, doc, lo, hi = (rows.column(i).to_numpy() for i in (0, 2, 3, 4))
         bodies = rows.column(5).to_pylist()
         count = np.array([len(x) // 8 for x in bodies], np.int64)
@@ -401,7 +451,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, with_spans: bool = False)
         .select("doc", "body", "runs")
         .mapInArrow(lambda it: _open_runs(it, depth), WINDOWS)
         .repartition(n, "d1", "spread")
-        .sortWithinPartitions("d1")
+        .sortWithinPartitions("d1", "spread")
     )
     removed = settled.where(F.col("kind") == REMOVED).unionByName(windows.mapInArrow(lambda it: _settle_windows(it, depth), RANGES))
     ranges = removed.groupBy("doc").agg(span.alias("ranges"))

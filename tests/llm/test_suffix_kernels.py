@@ -88,3 +88,49 @@ def test_portions_end_where_the_first_digit_changes(monkeypatch):
         keys = [set(p.column(0).to_pylist()) for p in parts]
         assert all(not a & b for i, a in enumerate(keys) for b in keys[:i])
         assert len(parts) > 1 or size == 20
+
+
+def in_batches(batches, size: int, keys):
+    """One task's rows as Spark gives them: sorted, in batches of ``size``."""
+    whole = pa.Table.from_batches(list(batches)).sort_by([(k, "ascending") for k in keys]).combine_chunks()
+    return iter(b for b in whole.to_batches(max_chunksize=size))
+
+
+@pytest.mark.parametrize("wide", [0, 1, 8])
+@pytest.mark.parametrize("portion", [2, 6, 40, 1 << 18])
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_longer_than_a_portion(monkeypatch, wide, portion, seed):
+    """A third of the texts are copies, and all hold one passage in many surroundings."""
+    monkeypatch.setattr(sd, "WIDE", wide)
+    monkeypatch.setattr(sd, "BLOCK", 300)
+    runs, windows = sd._settle_runs, sd._settle_windows
+    monkeypatch.setattr(sd, "_settle_runs", lambda it, depth: runs(in_batches(it, 3, ["d1"]), depth))
+    monkeypatch.setattr(sd, "_settle_windows", lambda it, depth: windows(in_batches(it, 3, ["d1", "spread"]), depth))
+    monkeypatch.setattr(sd, "PORTION", portion)
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = noise(60), noise(150)
+    texts = [copy if rng.random() < 0.34 else noise(rng.randrange(0, 80)) + passage + noise(rng.randrange(0, 80)) for _ in range(60)]
+    assert passes(texts, 50) == fx.repeats(texts, 50)
+
+
+def test_a_hot_group_is_held_in_few_rows(monkeypatch):
+    """However long one digit's group is, no portion holds much more than ``PORTION`` rows."""
+    monkeypatch.setattr(sd, "PORTION", 20)
+    np = sd.np
+    for kinds in (3, 400):
+        n = 500
+        at = np.arange(n)
+        rows = sd._rows(np.full(n, 7), at % kinds, at, np.zeros(n), np.full(n, 5), sd.CLASS)
+        portions = list(sd._portions(iter([rows.slice(i, 5) for i in range(0, n, 5)]), 1, lambda g: sd._thin_runs(g, 50)))
+        assert max(p.num_rows for p in portions) <= 40
+        out = [r for p in portions for r in p.to_pylist() if r["kind"] != sd.MARK]
+        assert sorted(r["doc"] for r in out) == list(range(n))
+        if kinds == 3:
+            assert sorted(r["doc"] for r in out if r["kind"] != sd.REMOVED) == [0, 1, 2]
+        else:
+            assert all(r["kind"] in (sd.WIDE_OPEN, sd.REMOVED, sd.CLASS) for r in out)
+    n = 500
+    one = pa.record_batch([pa.array([7] * n), pa.array([9] * n), pa.array(range(n)), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([b"12345678"] * n)], names=["d1", "spread", "doc", "lo", "hi", "hashes"])
+    gone = [r["doc"] for b in sd._settle_windows(iter([one.slice(i, 5) for i in range(0, n, 5)]), 50) for r in b.to_pylist()]
+    assert sorted(gone) == list(range(1, n))
