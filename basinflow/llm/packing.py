@@ -7,8 +7,8 @@ a sequence of its own, so no sequence crosses documents and none is padded;
 sequences of one length form a bucket, and batches are drawn from buckets.
 
 Everything about a document happens in its own row, so nothing is grouped and a
-hot source costs nothing. The finished rows are dealt by (length, sequence_id)
-ranges, which brings the buckets together and splits a bucket of any size.
+hot source costs nothing. The finished rows are dealt in order of length to tasks of
+equally many tokens, which brings the buckets together and splits a bucket of any size.
 
 Defined results: a null or empty text has only its end id (one piece of one
 token); repeated rows are packed one by one; rows with a null doc_id keep it; an
@@ -119,6 +119,21 @@ def _pack(batches: Iterator[pa.RecordBatch], max_len: int, path: str | None, end
             pa.default_memory_pool().release_unused()  # workers live on; what this stage needed is given back
 
 
+def _by_bucket(pieces: DataFrame, n: int) -> DataFrame:
+    """``pieces`` in ``n`` partitions of about equally many tokens, buckets in order of length, each spread by a hash."""
+    tokens = {r["length"]: r["tokens"] for r in pieces.groupBy("length").agg(F.sum("length").alias("tokens")).collect()}  # a row per power of two
+    if not tokens:
+        return pieces
+    total, begin, spans = sum(tokens.values()), 0, []
+    for length in sorted(tokens):
+        spans += [F.lit(length), F.struct(F.lit(begin / total).alias("begin"), F.lit(tokens[length] / total).alias("share"))]
+        begin += tokens[length]
+    span = F.create_map(*spans)[F.col("length")]
+    steps = 1 << 30
+    place = span["begin"] + span["share"] * F.pmod(F.xxhash64("sequence_id"), F.lit(steps)) / steps
+    return pieces.repartitionById(n, F.least(F.floor(place * n), F.lit(n - 1)).cast("int"))
+
+
 def pack_documents(
     docs: DataFrame, max_len: int = 1024, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True
 ) -> DataFrame:
@@ -132,9 +147,8 @@ def pack_documents(
     schema = PIECES + (", ids array<int>" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = texts.mapInArrow(lambda it: _pack(it, max_len, tokenizer, end_id, with_ids), schema)
-    # Range cuts are found by a first pass over their input: written down, texts are encoded once.
-    pieces = materialize(pieces, "pieces")
-    return pieces.repartitionByRange(parallelism(docs.sparkSession), "length", "sequence_id").sortWithinPartitions("length", "sequence_id")
+    # Bucket sizes are found by a first pass over the pieces: written down, texts are encoded once.
+    return _by_bucket(materialize(pieces, "pieces"), parallelism(docs.sparkSession)).sortWithinPartitions("length", "sequence_id")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
