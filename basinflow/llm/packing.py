@@ -7,8 +7,9 @@ a sequence of its own, so no sequence crosses documents and none is padded;
 sequences of one length form a bucket, and batches are drawn from buckets.
 
 Everything about a document happens in its own row, so nothing is grouped and a
-hot source costs nothing. The finished rows are dealt in order of length to tasks of
-equally many tokens, which brings the buckets together and splits a bucket of any size.
+hot source costs nothing. The finished rows are dealt in order of length to tasks, none
+of which gets much over twice its share of rows or of tokens: this brings the buckets
+together and splits a bucket of any size.
 
 Defined results: a null or empty text has only its end id (one piece of one
 token); repeated rows are packed one by one; rows with a null doc_id keep it; an
@@ -120,14 +121,19 @@ def _pack(batches: Iterator[pa.RecordBatch], max_len: int, path: str | None, end
 
 
 def _by_bucket(pieces: DataFrame, n: int) -> DataFrame:
-    """``pieces`` in ``n`` partitions of about equally many tokens, buckets in order of length, each spread by a hash."""
-    tokens = {r["length"]: r["tokens"] for r in pieces.groupBy("length").agg(F.sum("length").alias("tokens")).collect()}  # a row per power of two
-    if not tokens:
+    """``pieces`` in ``n`` partitions, buckets in order of length, each spread by a hash.
+
+    A bucket's share of the partitions is the mean of its shares of rows and of tokens, so a partition has about two n-ths of either at most.
+    """
+    sizes = sorted(tuple(r) for r in pieces.groupBy("length").agg(F.count("*"), F.sum("length")).collect())  # a row per power of two
+    if not sizes:
         return pieces
-    total, begin, spans = sum(tokens.values()), 0, []
-    for length in sorted(tokens):
-        spans += [F.lit(length), F.struct(F.lit(begin / total).alias("begin"), F.lit(tokens[length] / total).alias("share"))]
-        begin += tokens[length]
+    rows, tokens = sum(s[1] for s in sizes), sum(s[2] for s in sizes)
+    begin, spans = 0.0, []
+    for length, r, t in sizes:
+        share = (r / rows + t / tokens) / 2
+        spans += [F.lit(length), F.struct(F.lit(begin).alias("begin"), F.lit(share).alias("share"))]
+        begin += share
     span = F.create_map(*spans)[F.col("length")]
     steps = 1 << 30
     place = span["begin"] + span["share"] * F.pmod(F.xxhash64("sequence_id"), F.lit(steps)) / steps

@@ -285,16 +285,17 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_packed_partitions_are_even_in_tokens(spark):
+def test_packed_partitions_are_even_in_rows_and_tokens(spark):
     """Long and short pieces in equal numbers of rows differ a hundredfold in tokens."""
     rows = [(i, "word " * 1023 if i % 2 else "word") for i in range(400)]
     pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), max_len=1024)
-    held = pieces.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("n"), F.min("length").alias("lo"), F.max("length").alias("hi"))
+    held = pieces.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("n"), F.count("*").alias("rows"), F.min("length").alias("lo"), F.max("length").alias("hi"))
     parts = sorted(held.collect(), key=lambda r: r["p"])
     n = common.parallelism(spark)
     total = sum(r["n"] for r in parts)
     assert sum(r["n"] for r in pieces.select(F.col("length").alias("n")).collect()) == total
     assert len(parts) == n and max(r["n"] for r in parts) < 2 * total / n
+    assert max(r["rows"] for r in parts) < 2.5 * sum(r["rows"] for r in parts) / n
     assert all(a["hi"] <= b["lo"] for a, b in zip(parts, parts[1:]))
 
 
