@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basinflow.llm import chat, exact_dedup, fingerprints, html_text, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_html_text": html_text.op10_html_text,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op7_chat_perspectives": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
