@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basinflow.llm import chat, exact_dedup, fingerprints, html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, hard_negatives, html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_chat_perspectives": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
