@@ -105,7 +105,7 @@ def build_manifest(docs: DataFrame, fanout: int = FANOUT, tampered: Column | Non
     fields = [F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), *fields)
     shown = F.lit(None).cast("binary") if tampered is None else F.when(tampered.isNotNull(), leaf_digest(tampered))
-    leaves = texts.select("doc_id", "source", leaf_digest(F.col("text")).alias("leaf"), shown.alias("shown"))
+    leaves = materialize(texts.select("doc_id", "source", leaf_digest(F.col("text")).alias("leaf"), shown.alias("shown")), "digests")
     dealt = deal_in_order(leaves, [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf")], "part", "at")
     starts = materialize(group_starts(dealt, ["source"], "part", "at"), "starts")
     most = starts.agg(F.max("size")).first()[0]
