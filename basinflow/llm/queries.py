@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basinflow.llm import chat, exact_dedup, fingerprints, hard_negatives, html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup
+from basinflow.llm import chat, exact_dedup, fingerprints, hard_negatives, html_text, licenses, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE_SQL = {
