@@ -30,7 +30,7 @@ def sessionize(df: DataFrame, by: str, time: str, gap_seconds: int, width: int =
     Rows are dealt by (key, time bucket of ``width`` seconds), so a hot key lies in as
     many tasks as it has buckets. A bucket's first row looks back at the last time of
     the buckets before, and sessions begun in those are added up, both over one row per
-    key and bucket. Null keys are one key; rows without a time come first and are
+    key and bucket. Rows that tie on time are in one session. Null keys are one key; rows without a time come first and are
     session 1 together with each other; an empty table gives no rows.
     """
     row = F.struct(*df.columns)
@@ -49,5 +49,6 @@ def sessionize(df: DataFrame, by: str, time: str, gap_seconds: int, width: int =
     sums = marked.groupBy("k", "b").agg(F.sum("begins").alias("n"))
     so_far = F.coalesce(F.sum("n").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("k").alias("k2"), F.col("b").alias("b2"), so_far.alias("so_far"))
-    number = F.col("so_far") + F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    # Of rows that tie on time any one may be marked: the sum takes them all, so they get one number.
+    number = F.col("so_far") + F.sum("begins").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return marked.join(sums, same).select("row.*", number.alias(free_name("session_no", df)))

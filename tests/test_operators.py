@@ -109,6 +109,22 @@ def test_sessions_against_loop(spark, width):
     assert sessionize(df.limit(0), "u", "t", 40).count() == 0
 
 
+@pytest.mark.parametrize("again", range(3))
+def test_sessions_keep_ties_together(spark, again):
+    """Thousands of ties over 16 partitions: a (user, time) lies in one session, and numbers are those of a loop."""
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("u"), F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(6000)) * 7).alias("t"))
+    got = sessionize(rows.repartition(16), "u", "t", 21, width=500).select("u", F.unix_seconds("t").alias("s"), "session_no").distinct().collect()
+    times = {}
+    for r in got:
+        assert times.setdefault((r.u, r.s), r.session_no) == r.session_no
+    for user in range(3):
+        number, last = 0, None
+        for u, s in sorted(k for k in times if k[0] == user):
+            number += last is None or s - last >= 21
+            assert times[u, s] == number
+            last = s
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = top_k_per_group(table(spark, DATA, "orders"), ["o_custkey"], [F.desc("o_totalprice")], 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
