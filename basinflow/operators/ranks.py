@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinflow.operators.names import free_name
-from basinflow.sources.shared import fresh_path
+from basinflow.sources.shared import write_down
 
 
 def deal_in_order(df: DataFrame, order: Sequence[Column], part: str, at: str) -> DataFrame:
@@ -27,9 +27,7 @@ def deal_in_order(df: DataFrame, order: Sequence[Column], part: str, at: str) ->
     keyed = df.withColumns({mark: F.xxhash64(*df.columns), tie: F.monotonically_increasing_id()})
     by = [*order, F.col(mark), F.col(tie)]
     dealt = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    path = fresh_path(spark, "dealt")
-    dealt.select(*df.columns, F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at)).write.parquet(path)
-    return spark.read.parquet(path)
+    return write_down(dealt.select(*df.columns, F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at)), "dealt")
 
 
 def group_starts(dealt: DataFrame, by: Sequence[str], part: str, at: str) -> DataFrame:

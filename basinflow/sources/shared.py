@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A folder of this application that nothing else uses."""
     return f"{shared_dir(spark)}/basinflow/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+
+
+def write_down(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again: it is computed once, and a lost executor costs a re-read."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,14 +7,19 @@ are still open at the end of the input are not part of a result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import partial
+from typing import NamedTuple
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from basinflow.sources.shared import fresh_path
 
-#: Deliveries of ``late_stream``: on-time files, then one with the rows that come late.
+#: Deliveries of ``late_deliveries``: on-time files, then one with the rows that come late.
 ON_TIME, LATE_ONE_IN = 3, 97
 
 
@@ -26,33 +31,71 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` in several micro-batches: the rows in order, but one in ``LATE_ONE_IN`` of them comes after all others."""
+class Deliveries(NamedTuple):
+    """A stream over a folder that fills up delivery by delivery; each delivery is one micro-batch, whatever its number of files."""
+
+    stream: DataFrame
+    steps: list[Callable[[], None]]
+
+
+def late_deliveries(spark: SparkSession, sf_dir: str) -> Deliveries:
+    """``events`` in order, in ``ON_TIME`` deliveries, but one in ``LATE_ONE_IN`` rows comes in a last one, after all others.
+
+    A delivery is written by as many tasks as its rows have splits; on-time ones are ranges of event_id, which a scan can skip to.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = fresh_path(spark, "deliveries")
     late = F.col("event_id") % LATE_ONE_IN == 0
-    end = events.agg(F.max("event_id")).first()[0] or 0
-    turn = F.when(late, ON_TIME).otherwise(F.least(F.floor(F.col("event_id") * ON_TIME / (end + 1)), F.lit(ON_TIME - 1)))
-    for i in range(ON_TIME + 1):  # one delivery after another: a file source takes the oldest first
-        events.where(turn == i).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    cuts = [-(-end * i // ON_TIME) for i in range(ON_TIME + 1)]
+    parts = [~late & (F.col("event_id") >= lo) & (F.col("event_id") < hi) for lo, hi in zip(cuts, cuts[1:])] + [late]
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(path)  # the folder is there before the stream
+
+    def deliver(rows: Column) -> None:
+        events.where(rows).write.mode("append").parquet(path)
+
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    return Deliveries(stream.withColumn("ts", F.col("ts").cast("timestamp")), [partial(deliver, rows) for rows in parts])
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run ``stream`` until its input is used up and give what it put out; in ``update`` and ``complete`` mode with a column ``batch``."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Streams that start within take ``key`` as ``value``; the session gets its own back."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+ROCKS_DB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drain(stream: DataFrame, mode: str, steps: Sequence[Callable[[], None]] = (), flush: bool = True) -> DataFrame:
+    """Run ``stream`` until its input is used up and give what it put out; in ``update`` and ``complete`` mode with a column ``batch``.
+
+    With ``steps`` it runs once after each of them, going on from its checkpoint, as a job would that is run at intervals. Only the
+    last run adds a batch without rows, which sends what the watermark of the last delivery closes; without ``flush`` none does.
+    """
     spark = stream.sparkSession
     out = fresh_path(spark, "drained")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
-    if mode == "append":
-        writer.format("parquet").option("path", out).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
+    schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:  # a batch that runs again overwrites its own folder
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer, schema = writer.foreachBatch(keep), schema.add("batch", "long")
+    steps = steps or [lambda: None]
+    for i, step in enumerate(steps, 1):
+        step()
+        with setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", str(flush and i == len(steps)).lower()):
+            writer.start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +114,16 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by closed day over several micro-batches; rows that come after their day was closed are dropped."""
-    stream = late_stream(spark, sf_dir).withWatermark("ts", "1 hour")
-    counts = stream.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    return drain(counts, "append").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+    stream, steps = late_deliveries(spark, sf_dir)
+    counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return drain(counts, "append", steps).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
 def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by type after each micro-batch (complete mode): the last batch has them all."""
-    counts = late_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
-    return drain(counts, "complete").groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
+    stream, steps = late_deliveries(spark, sf_dir)
+    counts = stream.groupBy("event_type").agg(F.count("*").alias("n"))
+    return drain(counts, "complete", steps).groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +170,9 @@ def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     schema = "user_id long, n long, total double"
-    stream = late_stream(spark, sf_dir).select("user_id", "value")
-    totals = stream.groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
-    return drain(totals, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+    stream, steps = late_deliveries(spark, sf_dir)
+    totals = stream.select("user_id", "value").groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return drain(totals, "update", steps).groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
 
 
 QUERIES = {
