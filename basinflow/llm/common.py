@@ -113,6 +113,11 @@ def doubling_batch(key: Column, rows: int, base: int) -> tuple[Column, int]:
     return F.length(F.ltrim(F.bin(draw), F.lit("0"))).cast("int"), bits + 1
 
 
+def first_batch(rows: int) -> int:
+    """A quarter of the rows: an index of any size takes three batches, so that later ones merge with runs, and runs are compacted."""
+    return max(1, rows // 4)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

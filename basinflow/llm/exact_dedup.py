@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import Run, buckets_for, doubling_batch, free_name, materialize, read_table, small_batches, table_path, write_run
+from basinflow.llm.common import Run, buckets_for, doubling_batch, first_batch, free_name, materialize, read_table, small_batches, table_path, write_run
 
 #: Bytes of a digest that its tag holds: 1 in 2**40 / (entries of a run) passes a filter in vain.
 TAG = 5
@@ -108,9 +108,10 @@ def _order(keep: str) -> F.Column:
 class DigestIndex:
     """Levels of runs (tag, digest, n, n_reps, top): the rows and memtables that had a digest so far, and the best identifier."""
 
-    def __init__(self, buckets: int, fanout: int = 3):
+    def __init__(self, buckets: int, fanout: int = 2):
         self.buckets, self.fanout = buckets, fanout
-        self.levels: list[list[tuple[Run, Run]]] = []
+        self.levels: list[list[Run]] = []
+        self.filters: dict[str, Run] = {}  # by the name of the run; written when the run is first probed
 
     def add(self, reps: DataFrame, keep: str) -> None:
         """Add a batch of representatives (digest, doc_id, row_no, raw, n_rows)."""
@@ -134,12 +135,15 @@ class DigestIndex:
 
     def hits(self, batch: DataFrame) -> DataFrame | None:
         """The rows of ``batch`` whose digest a run has, with the newest entry (``had``), or None."""
-        found = []
-        for run, tags in (r for level in self.levels for r in level):
-            passed = materialize(batch.join(tags.frame.hint("merge"), "tag", "left_semi"), "passed")
-            if not passed.isEmpty():
-                entry = F.struct("n", "n_reps", "top").alias("had")
-                found.append(passed.join(run.frame.select("tag", "digest", entry), ["tag", "digest"]))
+        runs = [r for level in self.levels for r in level]
+        probes = [batch.join(self.filter_of(run).frame.hint("merge"), "tag", "left_semi").withColumn("run", F.lit(i)) for i, run in enumerate(runs)]
+        passed = materialize(reduce(DataFrame.unionByName, probes), "passed")
+        entry = F.struct("n", "n_reps", "top").alias("had")
+        # A run whose filter lets nothing pass isn't read.
+        found = [
+            passed.where(F.col("run") == r.run).drop("run").join(runs[r.run].frame.select("tag", "digest", entry), ["tag", "digest"])
+            for r in passed.groupBy("run").count().collect()
+        ]
         if not found:
             return None
         own = [F.first(c).alias(c) for c in ("n", "n_reps", "top")]
@@ -150,14 +154,23 @@ class DigestIndex:
     def _push(self, level: int, entries: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        run = write_run(entries, "tag", f"run{level}", self.buckets)
-        self.levels[level].append((run, write_run(run.frame.select("tag").distinct(), "tag", f"filter{level}", self.buckets)))
+        self.levels[level].append(write_run(entries, "tag", f"run{level}", self.buckets))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._newest([r.frame for r, _ in old]))
-            for run, tags in old:
-                run.drop()
-                tags.drop()
+            self._push(level + 1, self._newest([run.frame for run in old]))
+            for run in old:
+                self._drop(run)
+
+    def filter_of(self, run: Run) -> Run:
+        """The sorted tags of a run."""
+        if run.name not in self.filters:
+            self.filters[run.name] = write_run(run.frame.select("tag").distinct(), "tag", "filter", self.buckets)
+        return self.filters[run.name]
+
+    def _drop(self, run: Run) -> None:
+        run.drop()
+        if tags := self.filters.pop(run.name, None):
+            tags.drop()
 
     def _newest(self, runs: list[DataFrame]) -> DataFrame:
         newest = reduce(DataFrame.unionByName, runs).groupBy("tag", "digest").agg(F.max(F.struct("n", "n_reps", "top")).alias("e"))
@@ -165,14 +178,13 @@ class DigestIndex:
 
     def repeated(self) -> DataFrame:
         """(digest, keep_id, keep_row, keep_raw, group_size, n_reps) of every digest of several rows."""
-        runs = [r.frame.where("n > 1") for level in self.levels for r, _ in level]
+        runs = [run.frame.where("n > 1") for level in self.levels for run in level]
         return self._newest(runs).select("digest", *_winner(F.col("n")), "n_reps")
 
     def drop(self) -> None:
         for level in self.levels:
-            for run, tags in level:
-                run.drop()
-                tags.drop()
+            for run in level:
+                self._drop(run)
         self.levels = []
 
 
@@ -180,17 +192,17 @@ def _winner(size: F.Column) -> list[F.Column]:
     return [F.col("top.doc_id").alias("keep_id"), (-F.col("top.o.row")).alias("keep_row"), F.col("top.raw").alias("keep_raw"), size.alias("group_size")]
 
 
-def dedup_index(docs: DataFrame, keep: str = "largest", base: int = 20_000, fanout: int = 3) -> DataFrame:
+def dedup_index(docs: DataFrame, keep: str = "largest", base: int | None = None, fanout: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_no, digest, raw, keep_id, keep_row, keep_raw, group_size.
 
     ``raw`` is the text's ``xxhash64``; with doc_id it finds a row again.
 
-    ``keep`` is ``largest`` or ``smallest`` (doc_id of the row that stays); ``base``: rows of the first batch.
+    ``keep`` is ``largest`` or ``smallest`` (doc_id of the row that stays); ``base``: rows of the first batch, one in 4 by default.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep: largest or smallest")
     rows = docs.count()
-    log, batches = flush_log(docs, keep, rows, base)
+    log, batches = flush_log(docs, keep, rows, base or first_batch(rows))
     reps = log.where("batch >= 0")
     index = DigestIndex(buckets_for(docs.sparkSession, rows), fanout)
     for b in range(batches):

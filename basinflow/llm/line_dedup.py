@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import Run, ascii_lower, ascii_strip, buckets_for, doubling_batch, keyed_documents, materialize, read_table, table_path, with_doc_id, write_run
+from basinflow.llm.common import Run, ascii_lower, ascii_strip, buckets_for, doubling_batch, first_batch, keyed_documents, materialize, read_table, table_path, with_doc_id, write_run
 
 
 def line_keys(text: Column, min_chars: int = 1) -> Column:
@@ -47,7 +47,7 @@ def line_keys(text: Column, min_chars: int = 1) -> Column:
 class LineIndex:
     """Levels of sorted runs (key, n): ``n`` documents had the key when the entry was written; the newest entry has most."""
 
-    def __init__(self, min_docs: int, buckets: int, fanout: int = 3):
+    def __init__(self, min_docs: int, buckets: int, fanout: int = 2):
         self.min_docs, self.buckets, self.fanout = min_docs, buckets, fanout
         self.levels: list[list[Run]] = []
 
@@ -98,13 +98,13 @@ class LineIndex:
         self.levels = []
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, base: int = 20_000, fanout: int = 3) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept) per document; ``kept`` is what stays, joined by newlines. ``base``: documents of the first batch."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, base: int | None = None, fanout: int = 2) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept) per document; ``kept`` is what stays, joined by newlines. ``base``: documents of the first batch, one in 4 by default."""
     spark = docs.sparkSession
     keyed, plain = keyed_documents(docs)
     texts = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
     rows = keyed.count()
-    batch, batches = doubling_batch(F.col("doc"), rows, base)
+    batch, batches = doubling_batch(F.col("doc"), rows, base or first_batch(rows))
     path = table_path(spark, "lines")
     # A folder for each batch: a batch reads its own lines only.
     texts.select("doc", line_keys(F.col("text"), min_chars).alias("keys"), batch.alias("batch")).write.partitionBy("batch").parquet(path)

@@ -121,8 +121,8 @@ def test_digest_index_probes_filters_and_compacts(spark, docs, monkeypatch):
 
     def watched(self, batch):
         levels.append([len(level) for level in self.levels])
-        for _, tags in (r for level in self.levels for r in level):
-            passed.append((batch.join(tags.frame, "tag", "left_semi").count(), batch.count()))
+        for run in (r for level in self.levels for r in level):
+            passed.append((batch.join(self.filter_of(run).frame, "tag", "left_semi").count(), batch.count()))
         return hits(self, batch)
 
     monkeypatch.setattr(exact_dedup.DigestIndex, "hits", watched)
@@ -136,6 +136,37 @@ def test_digest_index_probes_filters_and_compacts(spark, docs, monkeypatch):
     assert sorted(map(tuple, blind.collect()), key=key) != want
 
 
+def test_registered_indexes_merge_and_compact(spark, monkeypatch):
+    """The registered queries themselves run the index: batches meet runs, levels are compacted, and without merges the results are wrong."""
+    from basinflow.llm.queries import QUERIES
+    from tests import parity
+
+    met = []
+    unseen, hits = line_dedup.LineIndex.unseen, exact_dedup.DigestIndex.hits
+
+    def seen(kind, inner):
+        def call(self, batch):
+            met.append((kind, [len(level) for level in self.levels]))
+            return inner(self, batch)
+
+        return call
+
+    def rows(name):
+        folder = "/root/testdata/sf0.01" if name == "op1_line_dedup" else parity.DATA  # where lines are common enough to go
+        return sorted(map(tuple, QUERIES[name](spark, folder).collect()))
+
+    monkeypatch.setattr(line_dedup.LineIndex, "unseen", seen("lines", unseen))
+    monkeypatch.setattr(exact_dedup.DigestIndex, "hits", seen("digests", hits))
+    right = {name: rows(name) for name in ("op1_line_dedup", "op9_exact_dedup")}
+    for kind in ("lines", "digests"):
+        levels = [at for k, at in met if k == kind]
+        assert len(levels) >= 2 and any(len(at) > 1 and at[1] for at in levels)  # several merges, one with a compacted run
+    monkeypatch.setattr(line_dedup.LineIndex, "unseen", lambda self, batch: batch.limit(0))
+    assert rows("op1_line_dedup") != right["op1_line_dedup"]
+    monkeypatch.setattr(exact_dedup.DigestIndex, "hits", lambda self, batch: None)
+    assert rows("op9_exact_dedup") != right["op9_exact_dedup"]
+
+
 def test_exact_dedup_parts_texts_that_share_a_digest(spark, docs, rows, monkeypatch):
     # with a digest of one value every hit needs its bytes
     monkeypatch.setattr(exact_dedup, "_memtables", _one_digest_memtables)
