@@ -78,3 +78,26 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int, how: str
     dealt = big.withColumn(name, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [on, name], how).drop(name)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, start: str, stop: str, width: int, most: int = 10_000) -> DataFrame:
+    """Pairs (``left.*`` as struct ``l``, ``right.*`` as struct ``r``) whose spans [start, stop) of integers overlap.
+
+    Both sides lie in every bucket of ``width`` that they touch, and a pair is made in its first common bucket, the one that the
+    later start lies in, so it is made once. A bucket with more than ``most`` rows of ``left`` is split: its left rows are dealt to
+    portions and its right rows repeated in each, so no task joins more than about ``most`` of them with a bucket.
+    Spans that are empty or run backwards, or have a null end, overlap nothing; rows that repeat pair as often as they occur.
+    """
+
+    def spread(df: DataFrame, side: str) -> DataFrame:
+        rows = df.where(F.col(stop) > F.col(start)).select(F.struct(*df.columns).alias(side), F.col(start).alias(f"{side}_lo"), F.col(stop).alias(f"{side}_hi"))
+        at = lambda c: F.floor(c / F.lit(width)).cast("long")
+        return rows.withColumn("first", at(F.col(f"{side}_lo"))).withColumn("bucket", F.explode(F.sequence("first", at(F.col(f"{side}_hi") - 1)))).withColumnRenamed("first", f"{side}_first")
+
+    lefts, rights = spread(left, "l"), spread(right, "r")
+    # One row per bucket.
+    portions = lefts.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("portions"))
+    dealt = lefts.join(portions, "bucket").withColumn("portion", F.pmod(F.xxhash64("l"), F.col("portions")).cast("int")).drop("portions")
+    copies = rights.join(portions, "bucket").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
+    met = dealt.join(copies, ["bucket", "portion"]).where((F.col("l_lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("l_hi")))
+    return met.where(F.col("bucket") == F.greatest("l_first", "r_first")).select("l", "r")

@@ -54,8 +54,11 @@ same(
 )
 same(
     "recursive_series",
-    """WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15)
-       SELECT n, f FROM t""",
+    """WITH RECURSIVE t(k, depth, way) AS (
+         SELECT s_suppkey, CAST(0 AS BIGINT), CAST(s_suppkey AS VARCHAR(500)) FROM supplier WHERE s_suppkey = 0
+         UNION ALL SELECT s.s_suppkey, t.depth + 1, CAST(t.way || '/' || s.s_suppkey AS VARCHAR(500)) FROM supplier s JOIN t ON floor((s.s_suppkey - 1) / 4) = t.k WHERE s.s_suppkey > 0)
+       SELECT k, depth, way FROM t""",
+    "supplier",
 )
 same(
     "regression",

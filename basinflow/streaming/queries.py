@@ -38,17 +38,17 @@ class Deliveries(NamedTuple):
     steps: list[Callable[[], None]]
 
 
-def late_deliveries(spark: SparkSession, sf_dir: str) -> Deliveries:
-    """``events`` in order, in ``ON_TIME`` deliveries, but one in ``LATE_ONE_IN`` rows comes in a last one, after all others.
+def late_deliveries(spark: SparkSession, sf_dir: str, with_late: bool = True) -> Deliveries:
+    """``events`` in order, in ``ON_TIME`` deliveries, but one in ``LATE_ONE_IN`` rows comes in a last one, after all others (unless all are on time).
 
     A delivery is written by as many tasks as its rows have splits; on-time ones are ranges of event_id, which a scan can skip to.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = fresh_path(spark, "deliveries")
-    late = F.col("event_id") % LATE_ONE_IN == 0
+    late = F.col("event_id") % LATE_ONE_IN == 0 if with_late else F.lit(False)
     end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
     cuts = [-(-end * i // ON_TIME) for i in range(ON_TIME + 1)]
-    parts = [~late & (F.col("event_id") >= lo) & (F.col("event_id") < hi) for lo, hi in zip(cuts, cuts[1:])] + [late]
+    parts = [~late & (F.col("event_id") >= lo) & (F.col("event_id") < hi) for lo, hi in zip(cuts, cuts[1:])] + [late] * with_late
     spark.createDataFrame([], events.schema).write.mode("append").parquet(path)  # the folder is there before the stream
 
     def deliver(rows: Column) -> None:
@@ -159,6 +159,20 @@ def purchases_after_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(met.select("event_id", "view_id"), "append")
 
 
+def purchases_with_views_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stateful operators in a row, over several deliveries: purchases left-joined to the views of the hour before, then counted by closed day.
+
+    A purchase without a view is sent when the watermark says that none can come, so days close an hour later than the watermark.
+    """
+    stream, steps = late_deliveries(spark, sf_dir, with_late=False)
+    events = stream.select("event_id", "user_id", "event_type", "ts")
+    bought = events.where("event_type = 'purchase'").withWatermark("ts", "1 hour")
+    views = events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer"), F.col("ts").alias("seen")).withWatermark("seen", "1 hour")
+    met = bought.join(views, F.expr("user_id = viewer AND seen <= ts AND seen >= ts - INTERVAL 1 HOUR"), "left_outer")
+    days = met.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.count("view_id").alias("with_view"))
+    return drain(days, "append", steps).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "with_view")
+
+
 def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arbitrary state: a count and a sum per user, kept across micro-batches and sent on each change."""
 
@@ -185,6 +199,7 @@ QUERIES = {
     "stream_dedup": first_of_user_and_type,
     "stream_dedup_within_watermark": repeats_within_watermark,
     "stream_join": purchases_after_views,
+    "stream_join_then_count": purchases_with_views_by_day,
 }
 
 SQL = {
@@ -217,4 +232,12 @@ WHERE stop + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""
     "stream_join": """
 SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR
 WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
+    # The watermark is that of the stream that is behind; what the join keeps holds the days back by one more hour.
+    "stream_join_then_count": """
+SELECT date_trunc('day', p.ts)::TIMESTAMP AS day, count(*) AS n, count(v.event_id) AS with_view
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 1 HOUR
+WHERE date_trunc('day', p.ts) + INTERVAL 1 DAY <= (
+  SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type = 'view')) - INTERVAL 2 HOUR FROM events)
+GROUP BY ALL""",
 }
