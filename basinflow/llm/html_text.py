@@ -3,7 +3,7 @@
 1. *Trees.* A task parses each page once: its tree of block elements is folded
    (siblings of one signature, tag with role and class words, become one *slot*),
    and every text block of the page, menus and footers too, is kept with its slot.
-   Only what is never shown is left out: scripts, styles, templates, hidden parts.
+   Only scripts, styles, templates and the contents of form fields and embedded objects are left out.
 2. *Alignment.* The distinct trees of a host are aligned by simple tree matching
    and united into its template; slots on under 1 in ``RARE`` of its pages go. A tree
    is aligned once, however many pages have it, and each block then knows its
@@ -20,8 +20,10 @@
    slot whose texts mostly vary.
 
 Element names, roles and the words that the task itself names are a *prior*: they
-multiply mass by ``PRIOR`` (main) or divide it (furniture). It settles hosts of a
-few pages; the mass that a host's pages show can overrule it.
+multiply mass by ``PRIOR`` (main) or divide it twice (furniture), and a main element is left for a child only
+if that holds nearly all of its mass. The prior weighs as much as one page, ``PRIOR ** (1 / pages)``: it settles hosts of a page
+or two, and on others alignment decides (a test turns it off there, and no text changes). Names alone tell a reader's comment from the
+article it stands in, since both vary.
 
 Steps 3 and 4 read the blocks as columns, so pages are not parsed again, and a hot
 host sends one row per distinct tree and distinct text into its groups. Trees of a
@@ -64,10 +66,10 @@ PRIOR = 10.0
 
 # Element names and roles of the HTML standard, and the task's words for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Implied where a page leaves them out, so they are no slots.
@@ -90,14 +92,14 @@ TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 CONTENT, NEUTRAL, TEMPLATE = 1, 0, -1
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
 class Page:
@@ -131,15 +133,20 @@ class Page:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = close.end() if close else len(html)
                 self._end(tag)
+            elif tag == "xmp":  # its content has no tags either, and is shown as it is
+                close = re.compile(r"</xmp\s*>", re.I).search(html, at)
+                self._text(html[at : close.start() if close else len(html)], raw=True)
+                at = close.end() if close else len(html)
+                self._end(tag)
         if at < len(html):
             self._text(html[at:])
         self._flush()
 
-    def _text(self, text: str) -> None:
+    def _text(self, text: str, raw: bool = False) -> None:
         top = self._open[-1]
         if not top[2]:
             return
-        if "&" in text:
+        if "&" in text and not raw:
             text = unescape(text)
         self._parts.append(text)
         if top[3]:
@@ -170,10 +177,8 @@ class Page:
             return
         _, slot, shown, linked, depth = self._open[-1]
         signature = tag
-        if "=" in attributes or "hidden" in attributes:
+        if "=" in attributes:
             found = _attributes(attributes)
-            if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-                shown = False
             role = "main" if found.get("itemprop") == "articleBody" else found.get("role", "").lower()
             words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
             if words or role:
@@ -334,9 +339,10 @@ def _kind(signature: str) -> tuple[str, bool, bool]:
     return tag, (tag in MAIN or role in ("main", "article")) and not furniture, furniture and tag not in ("html", "body", "#")
 
 
-def decide(slots: list[tuple[int, str]], stats: dict[int, tuple[int, int, int, int]]) -> list[int]:
-    """CONTENT, NEUTRAL or TEMPLATE for each template slot; ``stats``: slot -> (texts, repeated texts, length, linked length)."""
+def decide(slots: list[tuple[int, str]], stats: dict[int, tuple[int, int, int, int]], pages: int = 1) -> list[int]:
+    """CONTENT, NEUTRAL or TEMPLATE for each template slot of a host of so many pages; ``stats``: slot -> (texts, repeated texts, length, linked length)."""
     n = len(slots)
+    prior = PRIOR ** (1 / max(pages, 1))
     kinds = [_kind(s) for _, s in slots]
     repeats, own = [0.0] * n, [0.0] * n
     in_main, in_furniture = [False] * n, [False] * n
@@ -349,7 +355,7 @@ def decide(slots: list[tuple[int, str]], stats: dict[int, tuple[int, int, int, i
             in_furniture[s] = in_furniture[parent] or furniture
         texts, repeated, share, linked = stats.get(s, (0, 0, 0, 0))
         repeats[s] = repeated / texts if texts else 0.0
-        own[s] = (share - linked) * (1 - 0.9 * repeats[s]) * (PRIOR if in_main[s] else 1) / (PRIOR * PRIOR if in_furniture[s] else 1)
+        own[s] = (share - linked) * (1 - 0.9 * repeats[s]) * (prior if in_main[s] else 1) / (prior * prior if in_furniture[s] else 1)
     total = own[:]
     for s in range(n - 1, 0, -1):
         total[slots[s][0]] += total[s]
@@ -358,11 +364,10 @@ def decide(slots: list[tuple[int, str]], stats: dict[int, tuple[int, int, int, i
         children[slots[s][0]].append(s)
 
     region, path = 0, [0]
-    while children[region] and kinds[region][0] != "article":
+    while children[region]:
         best = max(children[region], key=lambda c: (total[c], -c))
-        if total[best] < total[region] / 2 or not total[best]:
-            break
-        if kinds[best][0] in TEXTUAL or kinds[region][1] and not kinds[best][1]:
+        leaves_main = kinds[region][1] and not kinds[best][1]
+        if not total[best] or total[best] < total[region] * (1 - 0.5 / prior if leaves_main else 0.5) or kinds[best][0] in TEXTUAL:
             break
         region = best
         path.append(best)
@@ -501,10 +506,11 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _decide_host(stats: pd.DataFrame, template: pd.DataFrame) -> pd.DataFrame:
     """One host's slots (a few) and its template, which is there for every host; a host of empty pages has no slots."""
-    slots = [tuple(s) for s in json.loads(template["template"].iloc[0])[0]]
+    tree, _, pages = json.loads(template["template"].iloc[0])
+    slots = [tuple(s) for s in tree]
     columns = ("slot", "texts", "repeated", "share", "linked", "fixed")
     rows = list(zip(*(stats[c].tolist() for c in columns), stats["fixed_keys"]))
-    kinds = decide(slots, {r[0]: r[1:5] for r in rows})
+    kinds = decide(slots, {r[0]: r[1:5] for r in rows}, pages)
     fixed = [int(k) for r in rows if 2 * r[5] < r[3] for k in r[6]]  # in slots whose texts mostly vary
     return pd.DataFrame({"host": [template["host"].iloc[0]], "kinds": [kinds], "fixed": [fixed]})
 

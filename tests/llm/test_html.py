@@ -48,7 +48,7 @@ def brute(pages: list[str]) -> list[str]:
             fixed_size[s] += size[s, text]
     fixed = {(s, t) for s, t in fixed if 2 * fixed_size[s] < stats[s][2]}
     slots, _ = whole.slots()
-    kinds = decide(slots, {s: tuple(x) for s, x in stats.items()})
+    kinds = decide(slots, {s: tuple(x) for s, x in stats.items()}, len(pages))
     out = []
     for p, place in zip(parsed, places):
         found = [b for b in p.blocks if kinds[place[b[0]]] == CONTENT] or [b for b in p.blocks if kinds[place[b[0]]] == NEUTRAL]
@@ -58,7 +58,7 @@ def brute(pages: list[str]) -> list[str]:
 
 
 def test_odd_page():
-    assert brute([ODD])[0].split("\n\n") == ["T & x é", "ab é c d e", "one", "two", "x", "y", "1", "2", "5 < 6 &amp; 7"]
+    assert brute([ODD])[0].split("\n\n") == ["T & x é", "ab é c d e", "one", "two", "x", "y", "1", "2", "h", "5 < 6 &amp; 7"]
 
 
 @pytest.mark.parametrize(
@@ -77,6 +77,7 @@ def test_odd_page():
         ("<body><ul><li><a>menu</a></ul><p>text <a>link</a></p>", "text link"),
         ("<article><p>a</p></article><article class='comment'><p>b</p></article>", "a"),
         ("</p></b></article><p>a</p>", "a"),
+        ("<article><p>a</p><xmp><b>&amp;\n as it is</b></xmp><p hidden>b</p></article>", "a\n\n<b>&amp; as it is</b>\n\nb"),
         ("<article><p>see <a>x</a></p><ul><li><a>a source</a></ul></article>", "see x\n\na source"),
         # a class that sounds like furniture holds what the page is about
         ("<body><nav><a>home</a></nav><div class=header-notice><h1>Title</h1><p>" + "long text " * 50 + "</p></div><footer>x</footer>", "Title\n\n" + ("long text " * 50).strip()),
@@ -183,19 +184,25 @@ def test_registered_query_gives_the_articles(spark, table):
         assert r.text == "\n\n".join(Article(table[r.page_id].html).blocks)
 
 
-def test_the_template_decides(spark, table, monkeypatch):
-    """Without what was induced every page changes; without the prior most pages stay right."""
-    whole = {r.page_id: r.text for r in html_text.op10_html_text(spark, parity.DATA).collect()}
-    bare = html_text.extract_text(spark.read.parquet(f"{parity.DATA}/pages.parquet"), with_template=False).collect()
-    assert all(r.text != whole[r.page_id] for r in bare)
-    by_host = defaultdict(list)
-    for r in table.values():
-        by_host[re.match(r"^\w+://([^/:?#]*)", r.url)[1].lower()].append(r)
-    monkeypatch.setattr(html_text, "_kind", lambda s: (s.partition("@")[0], False, False))
-    right = 0
-    for rows in by_host.values():
-        right += sum(t == whole[r.page_id] for r, t in zip(rows, brute([r.html for r in rows])))
-    assert right >= 0.7 * len(table)
+def by_host(rows):
+    found = defaultdict(list)
+    for r in rows:
+        found[re.match(r"^\w+://([^/:?#]*)", r.url)[1].lower()].append(r)
+    return found
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """On hosts of three pages or more the prior changes no text of the registered query; without alignment over pages, and without the prior, texts change."""
+    folder = "/root/testdata/sf0.01"
+    whole = {r.page_id: r.text for r in html_text.op10_html_text(spark, folder).collect()}
+    hosts = [rows for rows in by_host(spark.read.parquet(f"{folder}/pages.parquet").collect()).values() if len(rows) >= 3]
+    monkeypatch.setattr(html_text, "PRIOR", 1.0)
+    for rows in hosts:
+        assert brute([r.html for r in rows]) == [whole[r.page_id] for r in rows]
+    monkeypatch.setattr(html_text, "_kind", lambda s: (s.partition("@")[0], False, False))  # no names at all
+    aligned = sum(t == whole[r.page_id] for rows in hosts for r, t in zip(rows, brute([r.html for r in rows])))
+    alone = sum(brute([r.html])[0] == whole[r.page_id] for rows in hosts for r in rows)
+    assert alone < aligned >= 0.95 * sum(map(len, hosts))
 
 
 def test_host():
