@@ -9,8 +9,9 @@ contents with their end marks.
 A rendering is a list of *parts* of ``turns_per_part`` turns, each a row: ``offset``
 is where the part begins in the whole rendering, and the mask's ranges are places in
 the whole rendering too. Usual conversations are one part; the parts of a longer one,
-joined in order, are the rendering, whatever its length, and no task ever holds more
-than a part. Turns are numbered in two steps: a range sort deals them by (conversation, turn), so
+joined in order, are the rendering, whatever its length, and texts are never gathered
+by more than a part: where parts begin is added up over their lengths, a row of four numbers for
+1,024 turns. Turns are numbered in two steps: a range sort deals them by (conversation, turn), so
 one hot conversation lies in many partitions, and the counts per conversation and
 partition, added up, tell where each partition's turns begin. Participants are
 found by a combined distinct, and met by a join on conv_id that Spark can split.
@@ -74,9 +75,7 @@ def render_perspectives(turns: DataFrame, turns_per_part: int = 1024) -> DataFra
     piece = F.struct("place", F.concat("head", "body").alias("piece"), "own", F.length("head").cast("long").alias("head"))
     joined = parts.groupBy(*group).agg(F.sort_array(F.collect_list(piece)).alias("p"))
     joined = joined.withColumn("text", F.array_join("p.piece", ""))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn("offset", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0).cast("long")))
-    return joined.select(
+    return _with_offsets(materialize(joined, "parts"), group).select(
         *group,
         "offset",
         F.size("p").cast("long").alias("n_turns"),
@@ -86,6 +85,16 @@ def render_perspectives(turns: DataFrame, turns_per_part: int = 1024) -> DataFra
     )
 
 
+def _with_offsets(parts: DataFrame, group: list[str]) -> DataFrame:
+    """``parts`` with ``offset``. Places are added up over lengths only; texts stay where they are but for a join by part, of which no key has more than one."""
+    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = parts.select(*group, F.length("text").cast("long").alias("length"))
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
+    places = lengths.select(F.col("conv_id").alias("_conv"), F.col("perspective").alias("_perspective"), F.col("part").alias("_part"), offset.alias("offset"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_perspective")) & (F.col("part") == F.col("_part"))
+    return parts.join(places, same)
+
+
 def _mask(pieces: Column, offset: Column) -> Column:
     """Ranges of the own contents, walking over the pieces of a part."""
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
