@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,30 +10,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basinflow.operators import names
+from basinflow.sources.shared import drop_written, fresh_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space: space and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can read and write.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    and only for a local master (tests, a laptop), a temporary folder is made
-    and put into the session's configuration.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='basinflow-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/basinflow/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+    return fresh_path(spark, tag)
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -55,19 +40,11 @@ BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Python workers of this session get ``BATCH_BYTES`` at a time from now on.
-
-    For operators whose result runs only when the caller writes it, where ``small_batches`` would be over by then.
-    """
-    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Plans that start within send Python workers ``BATCH_BYTES`` at a time, which bounds what a worker holds also where rows are long."""
     before = spark.conf.get(BATCH_SETTING)
-    bound_batches(spark)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
         yield
     finally:
@@ -127,7 +104,7 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 def drop_all_tables(spark: SparkSession) -> None:
     """Remove every intermediate table of this application. Frames that still read one can't be used after that."""
-    drop_table(spark, f"{shared_dir(spark)}/basinflow/{spark.sparkContext.applicationId}")
+    drop_written(spark)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -173,10 +150,7 @@ def with_doc_id(result: DataFrame, keyed: DataFrame, plain: bool) -> DataFrame:
 
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added while ``df`` has such a column (names ignore case)."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+    return names.free_name(base, df)
 
 
 def let(value: Column, body) -> Column:

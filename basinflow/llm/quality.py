@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinflow.llm.common import bound_batches, free_name, read_table
+from basinflow.llm.common import free_name, materialize, read_table
 
 BITS = 18
 DIMS = 1 << BITS
@@ -209,24 +209,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **o
     return fit(places, np.array([found["label"][i].as_py() for i in order], np.int64), **options)
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a last column ``score`` (0 to 1; underscores are added if there is one already).
+def score_quality(docs: DataFrame, model: Model, keep: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with the columns ``keep`` (all by default) and a last column ``score`` (0 to 1; underscores are added if there is one already).
 
-    Whole rows pass through Python workers, so the session's Arrow batches are bounded (``common.bound_batches``).
+    Whole rows pass through Python workers in bounded batches, and the result is written while that bound holds.
     """
-    bound_batches(docs.sparkSession)
     name = free_name(docs, "score")
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    kept = docs.columns if keep is None else keep
+    text, places = docs.columns.index("text"), [docs.columns.index(c) for c in kept]
+    schema = T.StructType([*[docs.schema.fields[i] for i in places], T.StructField(name, T.DoubleType())])
 
     def score(batches):
         features = Features()
         for batch in batches:
-            parts = (batch.column(at).slice(lo, 256).to_pylist() for lo in range(0, batch.num_rows, 256))  # few texts are alive at a time
+            parts = (batch.column(text).slice(lo, 256).to_pylist() for lo in range(0, batch.num_rows, 256))  # few texts are alive at a time
             scores = [model.score(features(t)) for part in parts for t in part]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], pa.array(scores, pa.float64())], names=[*kept, name])
 
-    return docs.mapInArrow(score, schema)
+    return materialize(docs.mapInArrow(score, schema).where(F.col(name) >= least), "scored")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -234,11 +234,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **o
     model = train_quality(docs, labels, **options)
     if model.weights is None:  # nothing was learned that could reject a document
         return docs
-    scored = score_quality(docs, model)
-    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
+    return score_quality(docs, model, least=threshold).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels))
+    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -151,18 +151,18 @@ def test_registered_indexes_merge_and_compact(spark, monkeypatch):
 
         return call
 
-    def rows(name):
-        return sorted(map(tuple, QUERIES[name](spark, parity.DATA).collect()))
+    def kept_rows():  # at the scale where copies lie in several memtables
+        return QUERIES["op9_exact_dedup"](spark, "/root/testdata/sf0.1").where("kept").count()
 
     monkeypatch.setattr(line_dedup.LineIndex, "unseen", seen("lines", unseen))
     monkeypatch.setattr(exact_dedup.DigestIndex, "hits", seen("digests", hits))
-    rows("op1_line_dedup")
-    right = rows("op9_exact_dedup")
+    QUERIES["op1_line_dedup"](spark, parity.DATA).count()
+    right = kept_rows()
     for kind in ("lines", "digests"):
         levels = [at for k, at in met if k == kind]
         assert len(levels) >= 2 and any(len(at) > 1 and at[1] for at in levels)  # several merges, one with a compacted run
     monkeypatch.setattr(exact_dedup.DigestIndex, "hits", lambda self, batch: None)
-    assert rows("op9_exact_dedup") != right
+    assert kept_rows() > right
     # No line of this table is in ten documents; with two the merges decide.
     docs = spark.read.parquet(f"{parity.DATA}/documents.parquet")
     kept = lambda: sorted(map(tuple, line_dedup.dedup_lines(docs, min_docs=2).collect()))
@@ -228,7 +228,9 @@ def test_simhash(docs, rows, empty):
     comp = fx.components(codes, 4)
     want = Counter((d, codes[d, i], comp[d, i][0]) for d, i in codes)
     assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want
-    assert simhash.near_duplicates(docs).count() == len(rows)
+    # Rows without an id keep their fingerprint and take part: they are named by the smallest id that they reach, or have none.
+    every = Counter((r.doc_id, r.fp % 2**64) for r in simhash.near_duplicates(docs).collect())
+    assert every == Counter((r[0], slow_simhash(r[1], 4)) for r in rows) and any(d is None for d, _ in every)
     kept = simhash.drop_near_duplicates(known)
     assert {r.doc_id for r in kept.collect()} == {c[0] for c in comp.values()} and kept.columns == known.columns
     assert simhash.drop_near_duplicates(empty).count() == 0
@@ -491,3 +493,31 @@ def test_parts_of_a_long_conversation_join_to_its_rendering(spark):
         assert sum(r.n_turns for r in rows) == whole[k].n_turns and len(whole[k].mask) == whole[k].n_learned
     assert whole[1, "ann"].text.count("Be kind.") == 1
     assert [whole[1, "ann"].text[m.start : m.stop] for m in whole[1, "ann"].mask] == [f"é {i}<|im_end|>\n" for i in range(2, 700, 2)]
+
+
+def test_a_hot_conversation_is_dealt_and_its_texts_are_not_gathered(spark):
+    """A third of all rows share a null conv_id: their turns lie in many tasks, and the window over its parts sees lengths only."""
+    said = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 500).alias("conv_id"), (F.col("id") % 7).alias("turn"),
+        F.element_at(F.array(F.lit("ann"), F.lit("bob")), (F.col("id") % 2 + 1).cast("int")).alias("role"), F.concat(F.lit("t"), F.col("id")).alias("content"),
+    )
+    numbered = chat.number_turns(said).collect()
+    places = defaultdict(list)
+    for r in numbered:
+        places[r.conv_id].append(r.place)
+    assert len(numbered) == 6000 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    parts = chat.render_perspectives(said.withColumnRenamed("content", "text"), 50)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Window")[-1]
+    assert "conv_id" in below and "length(text" in below  # what is sorted by conversation is lengths
+    assert parts.where("conv_id IS NULL").count() == 2 * 40
+    assert chat.number_turns(said.limit(0)).collect() == []
+
+
+def test_session_settings_are_left_alone(spark, docs):
+    key = common.BATCH_SETTING
+    before = spark.conf.get(key)
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 60)], "doc_id long, quality int, toxic int")
+    quality.keep_quality(docs, labels).count()
+    exact_dedup.dedup_index(docs).count()
+    assert spark.conf.get(key) == before
