@@ -69,32 +69,29 @@ def render_perspectives(turns: DataFrame, turns_per_part: int = 1024) -> DataFra
     )
     parts = seen.select(
         "conv_id", "perspective", "part", "place", own.alias("own"),
+        F.concat(F.when(F.col("conv_id").isNull(), "none").otherwise("id "), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("_key"),
         F.concat(F.lit(OPEN), header, F.lit("\n")).alias("head"), F.concat("content", F.lit(CLOSE)).alias("body"),
     )
-    group = ["conv_id", "perspective", "part"]
+    group = ["_key", "perspective", "part"]
     piece = F.struct("place", F.concat("head", "body").alias("piece"), "own", F.length("head").cast("long").alias("head"))
-    joined = parts.groupBy(*group).agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    joined = joined.withColumn("text", F.array_join("p.piece", ""))
-    return _with_offsets(materialize(joined, "parts"), group).select(
-        *group,
+    joined = parts.groupBy(*group).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(piece)).alias("p"))
+    # Where parts begin is added up over their lengths. Texts are neither sorted nor moved for it: they meet it where the grouping has put them.
+    lengths = parts.groupBy(*group).agg(F.sum(F.length("head") + F.length("body")).alias("length"))
+    before = Window.partitionBy("_key", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
+    joined = joined.join(lengths.select(*group, offset.alias("offset")).hint("shuffle_hash"), group)
+    return joined.select(
+        "conv_id",
+        "perspective",
+        "part",
         "offset",
         F.size("p").cast("long").alias("n_turns"),
         F.size(F.filter("p", lambda x: x["own"])).cast("long").alias("n_learned"),
-        "text",
+        F.array_join("p.piece", "").alias("text"),
         _mask(F.col("p"), F.col("offset")).alias("mask"),
     )
 
 
-def _with_offsets(parts: DataFrame, group: list[str]) -> DataFrame:
-    """``parts`` with ``offset``. Places are added up over lengths only; texts stay where they are but for a join by part, of which no key has more than one."""
-    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = parts.select(*group, F.length("text").cast("long").alias("length"))
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
-    places = lengths.select(F.col("conv_id").alias("_conv"), F.col("perspective").alias("_perspective"), F.col("part").alias("_part"), offset.alias("offset"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_perspective")) & (F.col("part") == F.col("_part"))
-    return parts.join(places, same)
-
-
 def _mask(pieces: Column, offset: Column) -> Column:
     """Ranges of the own contents, walking over the pieces of a part."""
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")

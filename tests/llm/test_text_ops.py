@@ -508,8 +508,9 @@ def test_a_hot_conversation_is_dealt_and_its_texts_are_not_gathered(spark):
     assert len(numbered) == 6000 and all(sorted(p) == list(range(len(p))) for p in places.values())
     parts = chat.render_perspectives(said.withColumnRenamed("content", "text"), 50)
     plan = parts._jdf.queryExecution().executedPlan().toString()
-    below = plan.split("Window")[-1]
-    assert "conv_id" in below and "length(text" in below  # what is sorted by conversation is lengths
+    window = plan[plan.index("Window [") :]
+    assert "sum(length#" in window and "collect_list" not in window  # what is sorted by conversation is lengths
+    assert "ShuffledHashJoin" in plan and plan.split("ShuffledHashJoin")[1].split("ObjectHashAggregate")[0].count("Exchange") == 0  # and texts stay where they were grouped
     assert parts.where("conv_id IS NULL").count() == 2 * 40
     assert chat.number_turns(said.limit(0)).collect() == []
 
