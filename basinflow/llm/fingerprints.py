@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from basinflow.llm.common import keyed_documents, let, parallelism, read_table, with_doc_id
 
 K, S = 5, 2
-#: Bits of a fingerprint's value that hold the distance; larger ones count as the largest.
+#: Bits of a fingerprint's value that hold the distance. With K 5 and S 2 two neighbouring anchors are never 15 words apart, so none is cut off.
 GAP = 4
 #: Ranges per shuffle partition, so that hashing them to partitions comes out even.
 RANGES = 4

@@ -197,7 +197,11 @@ def held_out() -> F.Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Model:
-    """Fit on the labelled documents outside the held-out quarter, ``max_train`` of them at most."""
+    """Fit on the labelled documents outside the held-out quarter, ``max_train`` of them at most.
+
+    The driver gets the distinct places of each one's features, four bytes a place and ``DIMS`` places at most: a megabyte for a very long
+    text, some kilobytes for a usual one.
+    """
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
