@@ -9,7 +9,8 @@ kth score is known exactly, and one more pass gathers the rows that reach it, an
 
 Each pass compares blocks of anchors with chunks of rows in numpy, an exact integer product; scores
 are never written. Anchors are a set of queries against all rows, and both sides are dealt by (block, slice of chunks), so
-that tasks are of even size whatever labels rows have; no side is broadcast by hand. The histogram of a chunk
+that tasks are of even size whatever labels rows have. Anchors, windows and what passes find about them grow with the table, and
+their Parquet files are far smaller than their rows, so every join asks for a merge and nothing is broadcast through the driver. The histogram of a chunk
 ends at its own kth row, since the kth of all rows can't lie further away. Of rows that tie for the
 last places, a chunk sends the smallest ids that could be taken, so copies of a vector don't pile up.
 
@@ -157,9 +158,9 @@ def _met(space: Space, anchors: DataFrame, windows: DataFrame, blocks: int) -> D
     slices = max(1, min(space.n_chunks, max(-(-2 * parallelism(windows.sparkSession) // blocks), space.n_chunks // CHUNKS_IN_SLICE)))
     own = anchors.groupBy("block").agg(F.collect_list(F.struct("row", "label", "v")).alias("anchors"))
     each = windows.groupBy("block").agg(F.collect_list(F.struct("w", "anchor", "top", "bottom", "tie", "need")).alias("windows"))
-    packed = own.join(each, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    packed = own.join(each.hint("merge"), "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     dealt = space.chunks.withColumn("slice", F.pmod(F.xxhash64("chunk"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.join(packed, ["block", "slice"]).select("rows", "ids", "labels", "vectors", "anchors", "windows")
+    return dealt.join(packed.hint("merge"), ["block", "slice"]).select("rows", "ids", "labels", "vectors", "anchors", "windows")
 
 
 def locate(space: Space, anchors: DataFrame, blocks: int, windows: DataFrame, k: int, same: bool, span: int) -> DataFrame:
@@ -181,8 +182,8 @@ def locate(space: Space, anchors: DataFrame, blocks: int, windows: DataFrame, k:
         counted = _met(space, anchors, ranged, blocks).mapInArrow(lambda it, shift=shift: _histograms(it, dims, small, same, shift, 1 << width), "w long, digit long, n long")
         counts = counted.groupBy("w", "digit").agg(F.sum("n").alias("n"))
         upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("w").orderBy("digit")))  # a row for each digit
-        reached = state.join(upto, "w").where(F.col("upto") + F.col("below") >= k).groupBy("w").agg(F.min(F.struct("digit", (F.col("upto") - F.col("n")).alias("before"))).alias("d"))
-        state = state.join(reached, "w", "left").select(
+        reached = state.join(upto.hint("merge"), "w").where(F.col("upto") + F.col("below") >= k).groupBy("w").agg(F.min(F.struct("digit", (F.col("upto") - F.col("n")).alias("before"))).alias("d"))
+        state = state.join(reached.hint("merge"), "w", "left").select(
             *keys, (F.col("base") + F.coalesce(F.col("d.digit") * (1 << shift), F.lit(0))).alias("base"),
             (F.col("below") + F.coalesce("d.before", F.lit(0))).alias("below"), F.col("d").isNull().alias("whole"),
         )
@@ -234,10 +235,10 @@ def mine_hard_negatives(
     # low * p <= 100 * n <= high * p, with n a whole number
     lo, hi = F.expr(f"(score * {low} + 99) div 100"), F.expr(f"(score * {high}) div 100")
     anchor = own.select(F.col("row").alias("w"), F.col("vec_id").alias("anchor_id"), "block")
-    pairs = near.where(p >= 0).select("w", F.col("vec_id").alias("positive_id"), p.alias("positive_score"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi").join(anchor, "w")
+    pairs = near.where(p >= 0).select("w", F.col("vec_id").alias("positive_id"), p.alias("positive_score"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi").join(anchor.hint("merge"), "w")
     pairs = materialize(pairs.select(F.col("w").alias("anchor"), "block", "anchor_id", "positive_id", "positive_score", "lo", "hi", F.monotonically_increasing_id().alias("w")), "pairs")
     found = select_top(space, own, blocks, pairs.select("w", "anchor", "block", "lo", "hi"), negatives, False, space.bound)
-    met = found.join(pairs.select("w", "anchor_id", "positive_id", "positive_score"), "w")
+    met = found.join(pairs.select("w", "anchor_id", "positive_id", "positive_score").hint("merge"), "w")
     return met.select("anchor_id", "positive_id", F.col("nth").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 

@@ -88,3 +88,19 @@ def test_the_radix_passes_find_the_kth_score(spark, monkeypatch):
         ranked = sorted((score(a, b) for b in points.values() if b.label != a.label), reverse=True)
         assert (r.hi - r.base, r.below, r.whole) == (ranked[4], sum(x > ranked[4] for x in ranked), False)
     assert hn.gather(space, own, 1, state, 5, False).count() == 5 * own.count()  # no ties here, and nothing else comes
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Anchors and windows grow with the table: no plan sends them through the driver, however small their files are."""
+    plans = []
+    materialize = hn.materialize
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *args)
+
+    monkeypatch.setattr(hn, "materialize", noted)
+    df = spark.createDataFrame(vectors(4, 300, 8), "vec_id long, embedding array<double>, label int")
+    out = hn.mine_hard_negatives(df, "vec_id", F.col("label"), "embedding", F.col("vec_id") % 100 == 0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
