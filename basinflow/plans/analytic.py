@@ -45,13 +45,6 @@ same(
        SELECT c_mktsegment, count(*) AS customers, round(max(s), 2) AS most FROM best JOIN customer ON k = c_custkey GROUP BY c_mktsegment""",
     "orders", "customer",
 )
-same(
-    "lateral_latest_two",
-    """SELECT c_custkey, o_orderkey FROM customer, LATERAL (
-         SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)
-       WHERE c_nationkey = 3""",
-    "customer", "orders",
-)
 same(
     "recursive_series",
     """WITH RECURSIVE t(k, depth, way) AS (
@@ -98,6 +91,19 @@ same(
 )
 
 
+@query("""SELECT c_custkey, o_orderkey FROM customer, LATERAL (
+         SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)
+       WHERE c_nationkey = 3""")
+def lateral_latest_two(spark, sf_dir):
+    """The order stands in the window. Spark takes a correlated LIMIT as a window without an order over rows that were sorted before a shuffle, and the shuffle loses that order."""
+    register(spark, sf_dir, "customer", "orders")
+    return spark.sql("""
+SELECT c_custkey, o_orderkey FROM customer, LATERAL (
+  SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS LAST) AS nth FROM orders)
+  WHERE o_custkey = c_custkey AND nth <= 2)
+WHERE c_nationkey = 3""")
+
+
 @query("""
 WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL),
      m AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM c),
