@@ -162,7 +162,8 @@ def event_paths(spark, sf_dir):
 @query("""
 SELECT ts, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_day FROM events""")
 def range_frame(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    """Seconds are rounded, halves to even, as the SQL's cast of ``epoch(ts)`` to a whole number does."""
+    events = table(spark, sf_dir, "events").withColumn("sec", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))
     w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-86400, 0)
     return events.select("ts", "user_id", F.count("*").over(w).alias("last_day"))
 

@@ -35,3 +35,11 @@ def test_latest_two_are_ordered_by_the_window(spark, monkeypatch, tmp_path):
     plan = analytic.QUERIES["lateral_latest_two"](spark, parity.DATA)._jdf.queryExecution().executedPlan().toString()
     assert all("o_orderdate" in line for line in plan.split("\n") if "Window [" in line or "WindowGroupLimit [" in line)
     parity.check(spark, analytic.QUERIES["lateral_latest_two"], analytic.SQL["lateral_latest_two"])
+
+
+def test_range_frame_rounds_seconds(spark, monkeypatch, tmp_path):
+    """A day and a fraction apart, on either side of the rounding."""
+    at = [(1, 0, 600_000), (2, 1, 0), (2, 0, 400_000), (3, 0, 500_000), (4, 1, 500_000), (5, 1, 499_999), (5, 2, 500_000), (6, 3, 0)]
+    rows = [(i, datetime(2024, 1, day, 0, 0, sec, us), 1, "view", 1.0) for i, (day, sec, us) in enumerate(at)]
+    folder(monkeypatch, tmp_path, events=events(spark, rows))
+    parity.check(spark, analytic.QUERIES["range_frame"], analytic.SQL["range_frame"])
