@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basinflow.plans.relational import money
@@ -173,23 +174,37 @@ def pandas_aggregate(spark, sf_dir):
     return both.select("p_brand", F.round("weighted", 4).alias("weighted"))
 
 
-#: Rows of a group that a pandas function gets at most: a key is dealt in portions of its event ids.
+#: Rows of a group that a pandas function gets, about: keys of few rows share a cell, a key of more is dealt in portions.
 PORTION = 4096
 
 
+def cell_of(key: Column, rows: int) -> Column:
+    """A cell for each key, by hash; cells hold about ``PORTION`` of the ``rows``."""
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(1 + rows // PORTION))
+
+
+def portion_of(row: Column, n: Column) -> Column:
+    """A portion for each row, by hash, of a key that has ``n`` of them."""
+    return F.pmod(F.xxhash64(row), F.ceil(n / PORTION))
+
+
 @query("""
 SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) * count(*) OVER u - CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER u AS BIGINT) AS off_times_n
 FROM events WINDOW u AS (PARTITION BY user_id)""")
 def pandas_grouped_map(spark, sf_dir):
-    """Each value's distance from its user's mean, in cents times the user's events, so that it is a whole number. A user of any size is many groups."""
+    """Each value's distance from its user's mean, in cents times the user's events, so that it is a whole number. Groups are of about one size, whatever sizes users have.
+
+    Rows with a null have cells of their own, since pandas holds a column with nulls as doubles.
+    """
 
     def centre(part: pd.DataFrame) -> pd.DataFrame:
         return part.assign(off_times_n=part["cents"] * part["n"] - part["total"])[["user_id", "event_id", "off_times_n"]]
 
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    sums = events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
-    dealt = events.join(sums, "user_id").withColumn("portion", F.floor(F.col("event_id") / PORTION))
-    return dealt.groupBy("user_id", "portion").applyInPandas(centre, "user_id long, event_id long, off_times_n long")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"), F.monotonically_increasing_id().alias("row"))
+    sums = events.groupBy(F.col("user_id").alias("of")).agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
+    cell, whole = cell_of(F.col("user_id"), events.count()), F.col("user_id").isNotNull() & F.col("event_id").isNotNull() & F.col("cents").isNotNull()
+    dealt = events.join(sums, F.col("user_id").eqNullSafe(F.col("of"))).withColumn("cell", F.when(whole, cell).otherwise(-1 - cell)).withColumn("portion", portion_of(F.col("row"), F.col("n")))
+    return dealt.drop("of", "row").groupBy("cell", "portion").applyInPandas(centre, "user_id long, event_id long, off_times_n long")
 
 
 @query("""
