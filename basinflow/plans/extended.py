@@ -210,15 +210,19 @@ def pandas_grouped_map(spark, sf_dir):
 @query("""
 SELECT customer.c_custkey, events.event_id FROM events JOIN customer ON c_custkey = user_id WHERE c_nationkey = 7 AND event_type = 'error'""")
 def pandas_cogroup(spark, sf_dir):
-    """Customers and their events meet in pandas. A customer is repeated for each portion of the events that it has, so that no pair of groups is large."""
+    """Customers and their events meet in pandas, cell by cell. A customer is repeated for each portion of the events that it has, so that no pair of groups is large."""
 
     def meet(customers: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
         return customers.merge(events, left_on="c_custkey", right_on="user_id")[["c_custkey", "event_id"]]
 
-    events = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id", F.floor(F.col("event_id") / PORTION).alias("portion"))
-    portions = events.select(F.col("user_id").alias("c_custkey"), F.col("portion").alias("part")).distinct()
-    customers = table(spark, sf_dir, "customer").where("c_nationkey = 7").select("c_custkey").join(portions, "c_custkey")
-    return customers.groupBy("c_custkey", "part").cogroup(events.groupBy("user_id", "portion")).applyInPandas(meet, "c_custkey long, event_id long")
+    events = table(spark, sf_dir, "events").where("event_type = 'error' AND user_id IS NOT NULL").select("user_id", "event_id", F.monotonically_increasing_id().alias("row"))
+    rows = events.count()
+    sizes = events.groupBy(F.col("user_id").alias("of")).agg(F.count("*").alias("n"))
+    dealt = events.join(sizes, F.col("user_id") == F.col("of")).select("user_id", "event_id", cell_of(F.col("user_id"), rows).alias("cell"), portion_of(F.col("row"), F.col("n")).alias("portion"))
+    customers = table(spark, sf_dir, "customer").where("c_nationkey = 7").select("c_custkey").join(sizes, F.col("c_custkey") == F.col("of"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PORTION) - 1))
+    customers = customers.select("c_custkey", cell_of(F.col("c_custkey"), rows).alias("cell"), parts.alias("portion"))
+    return customers.groupBy("cell", "portion").cogroup(dealt.groupBy("cell", "portion")).applyInPandas(meet, "c_custkey long, event_id long")
 
 
 @query("""

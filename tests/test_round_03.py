@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import datetime
 from pathlib import Path
 
-from basinflow.plans import analytic
+from pyspark.sql import functions as F
+
+from basinflow.plans import analytic, extended
 from tests import parity
 
 
@@ -43,3 +45,24 @@ def test_range_frame_rounds_seconds(spark, monkeypatch, tmp_path):
     rows = [(i, datetime(2024, 1, day, 0, 0, sec, us), 1, "view", 1.0) for i, (day, sec, us) in enumerate(at)]
     folder(monkeypatch, tmp_path, events=events(spark, rows))
     parity.check(spark, analytic.QUERIES["range_frame"], analytic.SQL["range_frame"])
+
+
+def test_pandas_groups_hold_many_small_keys(spark, monkeypatch, tmp_path):
+    """2,000 users of one event, one of 500 (with repeated ids) and rows with nulls make groups of about a portion, not one for each user."""
+    monkeypatch.setattr(extended, "PORTION", 100)
+    day = datetime(2024, 1, 1)
+    rows = [(i, day, i, "error", i / 7) for i in range(2000)] + [(i % 250, day, 5000, "error", i / 3) for i in range(500)]
+    rows += [(9000, day, None, "error", 1.5), (9001, day, None, "error", None), (9002, day, 3, "error", None), (None, day, 4, "error", 2.0)]
+    folder(monkeypatch, tmp_path, events=events(spark, rows))
+    plan = extended.QUERIES["pandas_grouped_map"](spark, parity.DATA)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas [cell" in plan
+    plan = extended.QUERIES["pandas_cogroup"](spark, parity.DATA)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas [cell" in plan
+    n = len(rows)
+    keys = spark.createDataFrame([(r[2],) for r in rows if r[2] is not None], "user_id long")
+    groups = keys.groupBy(extended.cell_of(F.col("user_id"), n)).agg(F.count_if(F.col("user_id") != 5000).alias("small")).collect()
+    assert len(groups) <= 1 + n // 100 and max(r.small for r in groups) < 300
+    ids = spark.range(500).groupBy(extended.portion_of(F.col("id"), F.lit(500))).count().collect()
+    assert len(ids) == 5 and max(r["count"] for r in ids) < 200
+    for name in ("pandas_grouped_map", "pandas_cogroup"):
+        parity.check(spark, extended.QUERIES[name], extended.SQL[name])
