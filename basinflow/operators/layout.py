@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from basinflow.operators.names import free_name
 
 
+#: Rows of a bucket, about.
+BUCKET_ROWS = 200_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """As many buckets as keep one at about ``BUCKET_ROWS`` of the ``rows``: what a task sorts does not grow with the table."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """A table of the warehouse hashed and sorted by ``key``: joins and groupings on it need no shuffle.
 

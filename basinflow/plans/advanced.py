@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basinflow.operators.frequent import frequent_words
 from basinflow.operators.funnels import match_steps
 from basinflow.operators.joins import overlap_join
-from basinflow.operators.layout import write_bucketed, write_morton, write_partitioned
+from basinflow.operators.layout import buckets_for, write_bucketed, write_morton, write_partitioned
 from basinflow.operators.neighbors import build_index, exact_neighbors, search_index
 from basinflow.operators.ranks import global_ranks
 from basinflow.operators.runs import encode_runs
@@ -194,10 +194,11 @@ def box_on_morton(spark, sf_dir):
 SELECT o_orderstatus, count(DISTINCT o_orderkey) AS orders, count(*) AS lines, round(sum(l_extendedprice), 2) AS price
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus""")
 def bucketed_join(spark, sf_dir):
-    """Orders and lines as tables bucketed by order: the join moves no rows."""
+    """Orders and lines as tables bucketed by order, in buckets of bounded size: the join moves no rows."""
+    buckets = buckets_for(table(spark, sf_dir, "lineitem").count())
     name = f"bucketed_{fresh_path(spark, 'x').split('/')[-2]}"
-    orders = write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), f"{name}_orders", "o_orderkey", 8)
-    lines = write_bucketed(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice"), f"{name}_lines", "o_orderkey", 8)
+    orders = write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), f"{name}_orders", "o_orderkey", buckets)
+    lines = write_bucketed(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice"), f"{name}_lines", "o_orderkey", buckets)
     met = orders.hint("merge").join(lines, "o_orderkey")
     per_order = met.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("lines"), F.sum("l_extendedprice").alias("price"))
     done = write_down(per_order.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"), F.round(F.sum("price"), 2).alias("price")), "by_status")

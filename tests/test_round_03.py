@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from basinflow.plans import analytic, extended
+from basinflow.operators.layout import buckets_for
+from basinflow.plans import advanced, analytic, extended
 from tests import parity
 
 
@@ -66,3 +67,14 @@ def test_pandas_groups_hold_many_small_keys(spark, monkeypatch, tmp_path):
     assert len(ids) == 5 and max(r["count"] for r in ids) < 200
     for name in ("pandas_grouped_map", "pandas_cogroup"):
         parity.check(spark, extended.QUERIES[name], extended.SQL[name])
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    assert buckets_for(0) == 8 and buckets_for(36_000_000) == 180 and buckets_for(216_000_000) == 1080
+    made = []
+    write = advanced.write_bucketed
+    monkeypatch.setattr("basinflow.operators.layout.BUCKET_ROWS", 300)
+    monkeypatch.setattr(advanced, "write_bucketed", lambda df, name, key, buckets: made.append(buckets) or write(df, name, key, buckets))
+    parity.check(spark, advanced.QUERIES["bucketed_join"], advanced.SQL["bucketed_join"])
+    lines = spark.read.parquet(f"{parity.DATA}/lineitem.parquet").count()
+    assert made == [-(-lines // 300)] * 2
