@@ -1,13 +1,17 @@
 """Near copies by likeness: texts whose sets of five-word shingles share 0.8 or more of their union.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` least values each, and two
-texts are compared if they agree in any key. A pair of likeness s is missed with
+SimHash comes first: each shingle set has a 64-bit SimHash fingerprint, the Gray-order
+index of ``simhash`` finds the fingerprints within ``BITS`` bits, and the links whose
+sets are alike join their texts. At a likeness of 0.8 fingerprints differ in about ten
+bits, which no exact index reaches at scale, so MinHash finds what SimHash leaves
+apart: ``BANDS`` keys of ``ROWS`` least values each, and two texts that SimHash has not
+joined are compared if they agree in any key. A pair of likeness s is missed with
 probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8 and less above; every candidate is then
 decided by the exact likeness of its whole shingle sets, so nothing below the
 threshold links.
 
 Equal shingle sets are one node. The members of a bucket (the texts with one key)
-are first compared with the bucket's least node, which settles a bucket of near
+are first compared with the bucket's least node, unless SimHash has joined them,, which settles a bucket of near
 copies in as many comparisons as it has members. Only where a bucket is left with
 several components are the pairs across these compared, in buckets cut to pairs of
 blocks, so that no bucket gathers in one task; pairs that one block pair has already
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 
 from basinflow.llm.common import keep_one_per_group, materialize, parallelism
 from basinflow.llm.components import connected_components
-from basinflow.llm.simhash import WORD
+from basinflow.llm.simhash import WORD, find_links
 
+#: Bits in which linked SimHash fingerprints differ at most.
+BITS = 4
 BANDS, ROWS = 32, 4
 #: Members of a bucket in a block, and those that meet its head in one group.
 BLOCK, PORTION = 256, 1024
@@ -76,6 +82,14 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a shingle set: a bit is 1 if set in over half of its hashes. Signed, as Spark's longs are."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(found), 65_536):
+        counts += np.unpackbits(found[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether two distinct-hash sets share ``least`` of their union. Two empty sets are alike."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -90,11 +104,12 @@ def _set_id(found: np.ndarray) -> int:
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raws, nodes, keys = [], [], []
+        raws, nodes, prints, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text, words)
             raws.append(xxhash.xxh64_intdigest((text or "").encode(), 42))
             nodes.append(_set_id(found))
+            prints.append(set_fingerprint(found))
             keys.append(band_keys(found).view(np.int64))
         flat = np.concatenate(keys) if keys else np.array([], np.int64)
         yield pa.record_batch(
@@ -102,9 +117,10 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
                 batch.column(0),
                 pa.array(np.array(raws, np.uint64).view(np.int64)),
                 pa.array(nodes, pa.int64()),
+                pa.array(prints, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1) * BANDS, pa.int32()), pa.array(flat)),
             ],
-            names=["doc_id", "raw", "node", "keys"],
+            names=["doc_id", "raw", "node", "fp", "keys"],
         )
 
 
@@ -165,16 +181,41 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield links()
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst): nodes of (node, fp) that SimHash proposes, at most one less than there are nodes. Nodes of one fingerprint meet the least of them, which stands for it in the index's links."""
+    codes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "codes")
+    links = materialize(find_links(codes.select("fp"), codes.count(), BITS), "code_links")
+    one, two = (codes.select(F.col("fp").alias(fp), F.col("first").alias(node)) for fp, node in (("_one", "src"), ("_two", "dst")))
+    across = links.select(F.col("src").alias("_one"), F.col("dst").alias("_two")).join(one, "_one").join(two, "_two").select("src", "dst")
+    equal = nodes.join(codes, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    return equal.unionByName(across.where("src <> dst")).distinct()
+
+
+def _alike_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of (src, dst) the pairs that are alike.
+
+    A ``dst`` meets its pairs in portions, so that the head of a bucket of most texts is no hot key; its set is repeated once for each.
+    """
+    portions = F.ceil(F.col("n") / PORTION).cast("int")
+    sizes = materialize(pairs.groupBy("dst").agg(F.count("*").alias("n")).select("dst", portions.alias("parts")), "degrees")
+    dealt = pairs.join(sizes, "dst").select("src", "dst", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"))
+    one = sets.select(F.col("node").alias("src"), "body")
+    two = sets.join(sizes, F.col("node") == F.col("dst")).select("dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("body").alias("other"))
+    both = dealt.join(one, "src").join(two, ["dst", "part"]).select("src", "dst", "body", "other")
+    return both.mapInArrow(lambda it: _verify(it, least), "src long, dst long")
+
+
 def likeness_links(docs: DataFrame, signed: DataFrame, words: int, least: float) -> DataFrame:
     """(src, dst): links of nodes with the same components as all candidate pairs of likeness ``least`` or more."""
     spark = docs.sparkSession
-    nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"))
+    nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    proposed = materialize(simhash_pairs(nodes.select("node", "fp")), "proposed")
     member = nodes.select("node", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(shared, "buckets")
     member = materialize(member.join(shared, "key"), "members")
     # The texts behind candidates, and only those, are read again.
-    wanted = member.select("node").distinct()
+    wanted = member.select("node").unionByName(proposed.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     rows = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("r"))
     rows = materialize(rows.select(F.col("r.doc_id").alias("_doc"), F.col("r.raw").alias("_raw")).distinct(), "wanted")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -183,15 +224,12 @@ def likeness_links(docs: DataFrame, signed: DataFrame, words: int, least: float)
     sets = texts.join(rows, same, "left_semi").select("_text").mapInArrow(lambda it: _sets(it, words), "node long, body binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
 
-    # A head meets its bucket in portions, so that the head of a bucket of most texts is no hot key; it is repeated once for each.
-    portions = lambda n: F.ceil(n / PORTION).cast("int")
-    pairs = member.where("node <> head").groupBy(F.col("node").alias("src"), F.col("head").alias("dst")).agg(F.max("n").alias("n"))
-    pairs = pairs.select("src", "dst", F.pmod(F.xxhash64("src"), portions(F.col("n"))).cast("int").alias("part"))
-    heads = shared.groupBy(F.col("head").alias("node")).agg(portions(F.max("n")).alias("parts"))
-    one = sets.select(F.col("node").alias("src"), "body")
-    two = sets.join(heads, "node").select(F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("body").alias("other"))
-    both = pairs.join(one, "src").join(two, ["dst", "part"]).select("src", "dst", "body", "other")
-    stars = materialize(both.mapInArrow(lambda it: _verify(it, least), "src long, dst long"), "stars")
+    hashed = materialize(_alike_pairs(proposed, sets, least), "hashed")
+    joined = materialize(connected_components(hashed), "joined")
+    of = lambda node, name: joined.select(F.col("node").alias(node), F.col("component").alias(name))
+    pairs = member.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
+    apart = pairs.join(of("src", "_s"), "src", "left").join(of("dst", "_d"), "dst", "left").where("NOT coalesce(_s = _d, false)").select("src", "dst")
+    stars = materialize(hashed.unionByName(_alike_pairs(materialize(apart, "apart"), sets, least)), "stars")
 
     found = materialize(connected_components(stars), "found")
     placed = member.select("node", "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -213,7 +251,7 @@ def likeness_links(docs: DataFrame, signed: DataFrame, words: int, least: float)
 def near_copy_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, raw, grp) for every row of ``docs``: ``raw`` is the text's ``xxhash64``, rows of one ``grp`` are near copies."""
     frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = frame.mapInArrow(lambda it: _signed(it, words), "doc_id long, raw long, node long, keys array<long>")
+    signed = frame.mapInArrow(lambda it: _signed(it, words), "doc_id long, raw long, node long, fp long, keys array<long>")
     signed = materialize(signed, "signed")
     linked = materialize(connected_components(likeness_links(docs, signed, words, least)), "near")
     return signed.join(linked, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("grp"))

@@ -34,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word likeness of 0.8 or more) stays, the one with the smallest doc_id.
 
-    The name of the stage is that of the task; candidates come from MinHash and are decided by exact likeness (README.md says why).
+    SimHash links come first, MinHash finds what they leave apart (README.md says why); exact likeness decides on both.
     Null and empty texts, and texts of blanks, have no words and are alike: one of them stays. A row with a null id stays only if its group has no
     other; of rows that share id and text one stays; rows that share an id but not a text are apart. An empty table gives no rows.
     """

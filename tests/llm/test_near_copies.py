@@ -109,3 +109,27 @@ def test_a_bucket_of_most_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in NEAR(spark, df, "").collect()}
     assert kept == {0, *range(10_000, 10_200)}
+
+
+def test_simhash_joins_texts_before_minhash(spark, monkeypatch):
+    """Copies with one word of 2,000 changed are joined by SimHash and never met again through a MinHash bucket; likeness decides on what it proposes."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows += [(10 * g + k, edited(rng, base, min(k, 1))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    materialize = near_copies.materialize
+
+    def noted(frame, tag, *rest):
+        out = materialize(frame, tag, *rest)
+        if tag in ("proposed", "hashed", "apart"):
+            seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", noted)
+    assert sorted(r.doc_id for r in NEAR(spark, df, "").collect()) == [10 * g for g in range(10)]
+    assert seen["proposed"] >= seen["hashed"] >= 18 and seen["apart"] <= 2
+    twins = spark.createDataFrame([(5, 9), (3, 9), (8, 11), (7, -1)], "node long, fp long")  # 9 and 11 differ in a bit
+    assert sorted(map(tuple, near_copies.simhash_pairs(twins).collect())) in ([(3, 8), (5, 3)], [(5, 3), (8, 3)])
