@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from basinflow.streaming.queries import ROCKS_DB, drain, late_deliveries, setting
 
-IDLE = "user_id long, start timestamp, stop timestamp, n long, nth long"
+IDLE = "user_id long, start long, stop long, n long, nth long"
 DAY_MS = 86_400_000
 
 
@@ -21,7 +20,8 @@ class IdleUsers(StatefulProcessor):
     """A row for each spell of a key's events once the watermark says that ``gap_ms`` have passed without another one.
 
     ``spells`` lists the key's open spells as (start, stop, n), in microseconds; rows may come in any order, also in one that joins two
-    spells. ``sent`` counts the spells sent. A timer stands at the end of each open spell. A key's state is its open spells only, however many rows they have.
+    spells. ``sent`` counts the spells sent. One timer stands for a key, at the first end of its open spells, and sends all that the watermark has
+    ended: calls to the state go by keys and batches, not by spells. A key's state is its open spells only, however many rows they have.
     """
 
     def __init__(self, gap_ms: int):
@@ -32,52 +32,46 @@ class IdleUsers(StatefulProcessor):
         self.spells = handle.getListState("spells", "start long, stop long, n long")
         self.sent = handle.getValueState("sent", "n long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        spells = [tuple(s) for s in self.spells.get()] if self.spells.exists() else []
-        before = {self._end(s) for s in spells}
-        for part in rows:
-            times = part["ts"].astype("datetime64[us, UTC]" if part["ts"].dt.tz else "datetime64[us]").astype("int64")
-            spells += [(t, t, 1) for t in times.tolist()]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        spells = [tuple(s) for s in self.spells.get()]
+        before = self._due(spells)
         merged: list[tuple[int, int, int]] = []
-        for start, stop, n in sorted(spells):
+        for start, stop, n in sorted(spells + [(r.at, r.at, 1) for r in rows]):
             if merged and start - merged[-1][1] < self.gap_ms * 1000:
                 first, last, m = merged[-1]
                 merged[-1] = (first, max(last, stop), m + n)
             else:
                 merged.append((start, stop, n))
         self.spells.put(merged)
-        after = {self._end(s) for s in merged}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
+        due = self._due(merged)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spells = [tuple(s) for s in self.spells.get()] if self.spells.exists() else []
-        over = sorted(s for s in spells if self._end(s) <= now)
-        if not over:
-            return
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        spells = sorted(tuple(s) for s in self.spells.get())
+        over = [s for s in spells if self._end(s) <= now]
         left = [s for s in spells if self._end(s) > now]
         if left:
             self.spells.put(left)
+            self.handle.registerTimer(self._due(left))
         else:
             self.spells.clear()
-        sent = self.sent.get()[0] if self.sent.exists() else 0
+        sent = (self.sent.get() or (0,))[0]
         self.sent.update((sent + len(over),))
-        stamp = lambda us: datetime.fromtimestamp(us // 1_000_000, timezone.utc).replace(microsecond=us % 1_000_000)
-        yield pd.DataFrame(
-            {
-                "user_id": [key[0]] * len(over), "start": [stamp(s[0]) for s in over], "stop": [stamp(s[1]) for s in over],
-                "n": [s[2] for s in over], "nth": range(sent + 1, sent + 1 + len(over)),
-            }
-        )
+        for nth, (start, stop, n) in enumerate(over, sent + 1):
+            yield Row(user_id=key[0], start=start, stop=stop, n=n, nth=nth)
 
     def _end(self, spell: tuple[int, int, int]) -> int:
         """When a spell is over, in milliseconds, rounded up."""
         return -(-spell[1] // 1000) + self.gap_ms
 
+    def _due(self, spells: list[tuple[int, int, int]]) -> int | None:
+        return min(map(self._end, spells), default=None)
+
     def close(self) -> None:
         pass
 
@@ -85,11 +79,11 @@ class IdleUsers(StatefulProcessor):
 def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spells of users' events that six idle hours have ended, numbered as they end, over several deliveries. The state is kept in RocksDB."""
     stream, steps = late_deliveries(spark, sf_dir)
-    watched = stream.select("user_id", "ts").withWatermark("ts", "1 hour").groupBy("user_id")
+    watched = stream.select("user_id", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", "1 hour").groupBy("user_id")
     with setting(spark, *ROCKS_DB):
-        spells = watched.transformWithStateInPandas(IdleUsers(6 * 3_600_000), IDLE, "Append", "EventTime")
+        spells = watched.transformWithState(IdleUsers(6 * 3_600_000), IDLE, "Append", "EventTime")
         done = drain(spells, "append", steps)
-    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
     return done.select("user_id", stamp("start"), stamp("stop"), "n", "nth")
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 from pathlib import Path
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from basinflow.operators.layout import buckets_for
 from basinflow.plans import advanced, analytic, extended
+from basinflow.streaming import idle
 from tests import parity
 
 
@@ -78,3 +81,57 @@ def test_buckets_grow_with_the_table(spark, monkeypatch):
     parity.check(spark, advanced.QUERIES["bucketed_join"], advanced.SQL["bucketed_join"])
     lines = spark.read.parquet(f"{parity.DATA}/lineitem.parquet").count()
     assert made == [-(-lines // 300)] * 2
+
+
+class Kept(list):
+    """A list, value or map state and a handle that count calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls, self.timers, self.map = 0, set(), {}
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self))
+
+    def put(self, rows):
+        self.calls += 1
+        self[:] = rows
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def keys(self):
+        self.calls += 1
+        return iter([(k,) for k in self.map])
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key[0]] = value
+
+
+class Number(Kept):
+    def get(self):
+        return self[0] if self else None
+
+    def update(self, value):
+        self[:] = [value]
+
+
+def test_a_key_has_one_timer_however_many_spells():
+    users = idle.IdleUsers(1000)
+    users.handle, users.spells, users.sent = Kept(), Kept(), Number()
+    rows = [Row(at=i * 5_000_000) for i in range(50)]
+    assert list(users.handleInputRows((7,), iter(rows[::-1]), None)) == []
+    assert users.handle.timers == {1000} and users.handle.calls + users.spells.calls == 3
+    list(users.handleInputRows((7,), iter([Row(at=900_000)]), None))  # the first spell goes on
+    assert users.handle.timers == {1900}
+    sent = list(users.handleExpiredTimer((7,), TimerValues(-1, 101_500), None))
+    assert [(r.nth, r.start, r.n) for r in sent] == [(i + 1, i * 5_000_000, 2 if i == 0 else 1) for i in range(21)]
+    assert len(users.spells) == 29 and 106_000 in users.handle.timers
+    assert [r.nth for r in users.handleExpiredTimer((7,), TimerValues(-1, 10**9), None)] == list(range(22, 51)) and not users.spells
