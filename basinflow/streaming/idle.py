@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -88,7 +87,10 @@ def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class FirstOfKind(StatefulProcessor):
-    """The first row of each kind that a key has, as long as it remembers: a kind is forgotten ``ttl_ms`` of processing time after it was let through."""
+    """The first row of each kind that a key has, as long as it remembers: a kind is forgotten ``ttl_ms`` of processing time after it was let through.
+
+    The map's keys are read once for a key and batch.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
@@ -96,16 +98,15 @@ class FirstOfKind(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "kind string", "event_id long", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         first: dict[str, int] = {}
-        for part in rows:
-            for kind, event in part.groupby("event_type")["event_id"].min().items():
-                first[kind] = min(event, first.get(kind, event))
-        fresh = {kind: event for kind, event in first.items() if not self.seen.containsKey((kind,))}
-        for kind, event in fresh.items():
-            self.seen.updateValue((kind,), (int(event),))
-        kinds = pd.Series(list(fresh), dtype=object)  # text that Arrow holds in chunks is refused here
-        yield pd.DataFrame({"user_id": [key[0]] * len(fresh), "event_type": kinds, "event_id": list(fresh.values())})
+        for r in rows:
+            first[r.event_type] = min(r.event_id, first.get(r.event_type, r.event_id))
+        for (kind,) in self.seen.keys():
+            first.pop(kind, None)
+        for kind, event in first.items():
+            self.seen.updateValue((kind,), (event,))
+            yield Row(user_id=key[0], event_type=kind, event_id=event)
 
     def close(self) -> None:
         pass
@@ -116,7 +117,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, steps = late_deliveries(spark, sf_dir)
     with setting(spark, *ROCKS_DB):
         kinds = stream.select("user_id", "event_type", "event_id").groupBy("user_id")
-        found = kinds.transformWithStateInPandas(FirstOfKind(DAY_MS), "user_id long, event_type string, event_id long", "Append", "ProcessingTime")
+        found = kinds.transformWithState(FirstOfKind(DAY_MS), "user_id long, event_type string, event_id long", "Append", "ProcessingTime")
         return drain(found, "append", steps, flush=False)  # with processing time there would always be one more batch
 
 

@@ -135,3 +135,12 @@ def test_a_key_has_one_timer_however_many_spells():
     assert [(r.nth, r.start, r.n) for r in sent] == [(i + 1, i * 5_000_000, 2 if i == 0 else 1) for i in range(21)]
     assert len(users.spells) == 29 and 106_000 in users.handle.timers
     assert [r.nth for r in users.handleExpiredTimer((7,), TimerValues(-1, 10**9), None)] == list(range(22, 51)) and not users.spells
+
+
+def test_known_kinds_cost_one_call():
+    first = idle.FirstOfKind(1)
+    first.seen = Kept()
+    rows = [Row(event_type=f"t{i % 5}", event_id=100 - i) for i in range(50)] + [Row(event_type=None, event_id=3)]
+    assert {(r.event_type, r.event_id) for r in first.handleInputRows((1,), iter(rows), None)} == {(f"t{i}", 55 - i) for i in range(5)} | {(None, 3)}
+    first.seen.calls = 0
+    assert list(first.handleInputRows((1,), iter(rows), None)) == [] and first.seen.calls == 1
